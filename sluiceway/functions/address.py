@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_QUAD = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_QUAD = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
 
 
 def client_addr(forwarded: Column, remote_addr: Column) -> Column:
@@ -19,13 +20,11 @@ def _bind(value: Column, use) -> Column:
 
 
 def _quad_hex(addr: Column) -> Column:
-    """Hex of a dotted quad, null when an octet is above 255."""
-
-    def digits(parts: Column) -> Column:
-        octets = [parts[i].cast("int") for i in range(4)]
-        return F.when(F.greatest(*octets) <= 255, F.concat(*[F.lpad(F.hex(n), 2, "0") for n in octets]))
-
-    return _bind(F.split(addr, "[.]"), digits)
+    """Hex of a dotted quad."""
+    front, back = F.substring_index(addr, ".", 2), F.substring_index(addr, ".", -2)
+    octets = [F.substring_index(half, ".", end).cast("long") for half in (front, back) for end in (1, -1)]
+    number = sum(n * (1 << shift) for n, shift in zip(octets, (24, 16, 8, 0)))
+    return F.lpad(F.hex(number), 8, "0")
 
 
 def _groups(side: Column) -> Column:
@@ -84,8 +83,3 @@ def address_bytes(addr: Column) -> Column:
     return F.when(addr.rlike(f"^{_QUAD}" + r"\z"), F.unhex(_quad_hex(addr))).when(
         addr.rlike(r"^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\z"), _ipv6_bytes(addr)
     )
-
-
-def client_addr_bytes(forwarded: Column, remote_addr: Column) -> Column:
-    """Bytes of the forwarded address, or of the socket address when that is no IP literal."""
-    return F.coalesce(_bind(client_addr(forwarded, remote_addr), address_bytes), address_bytes(remote_addr))

@@ -13,11 +13,14 @@ def valid_uuid(col: Column, strict: bool = False) -> Column:
     return col.rlike(STRICT_UUID if strict else LENIENT_UUID)
 
 
+def uuid_text(digest: Column) -> Column:
+    """32 hex digits in UUID form, computed in one pass over ``digest``."""
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+
+
 def stable_uuid(*parts: Column) -> Column:
     """UUID text that depends only on ``parts``, so a retried task repeats it."""
-    digest = F.md5(F.concat_ws(":", *parts))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, start, n) for start, n in cuts])
+    return uuid_text(F.md5(F.concat_ws(":", *parts)))
 
 
 def fresh_id(seq: Column, stable: bool = True) -> Column:

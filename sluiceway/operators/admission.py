@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluiceway.functions.address import client_addr_bytes
+from sluiceway.functions.address import address_bytes, client_addr
 from sluiceway.functions.keys import fresh_id, valid_uuid
 from sluiceway.functions.paths import is_api_version, path_element, path_elements
 from sluiceway.functions.payload import effective_encoding, inflate
@@ -153,5 +153,8 @@ def inflate_payloads(df: DataFrame) -> DataFrame:
     )
 
 
-def sender_bytes() -> Column:
-    return client_addr_bytes(header("x-forwarded-for"), F.col("remote_addr"))
+def with_client_addr(df: DataFrame) -> DataFrame:
+    """Add ``ip_addr``: bytes of the forwarded address, or of the socket address if that is no IP literal."""
+    addr = client_addr(header("x-forwarded-for"), F.col("remote_addr"))
+    found = F.coalesce(address_bytes(F.col("_addr")), address_bytes(F.col("remote_addr")))
+    return df.withColumn("_addr", addr).withColumn("ip_addr", found).drop("_addr")

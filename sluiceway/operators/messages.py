@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.keys import fresh_id
-from sluiceway.operators.admission import handled, sender_bytes
+from sluiceway.operators.admission import handled, with_client_addr
 from sluiceway.schemas import CREATE_UPDATE, DELETE, MESSAGES
 
 OBSOLETE = "x-obsolete-document"
@@ -52,14 +52,14 @@ def to_messages(classified: DataFrame, stable_ids: bool = True) -> DataFrame:
         F.concat(own, F.transform(obsolete_ids(values), lambda v: item(v, F.lit(DELETE), no_payload))),
     ).otherwise(own)
     admitted = handled(classified).filter(F.col("outcome") != 400)
-    return admitted.select(
+    return with_client_addr(admitted).select(
         "seq",
         "shard",
         F.col("recv_ms").alias("ts_ms"),
         "namespace",
         "api_version",
         "partition",
-        sender_bytes().alias("ip_addr"),
+        "ip_addr",
         F.posexplode(named).alias("ord", "m"),
     ).select(
         "seq",

@@ -19,6 +19,14 @@ def as_flag(value: Column) -> Column:
     return F.lower(value) == "true"
 
 
+def _matches(namespace: Column, prefix: str, suffix: str, key: str) -> Column:
+    """Does ``namespace + key`` start with ``prefix`` and end with ``suffix``, the two not overlapping?"""
+    if suffix == key:
+        return namespace.startswith(prefix)
+    name = F.concat(namespace, F.lit(key))
+    return name.startswith(prefix) & name.endswith(suffix) & (F.length(name) >= len(prefix) + len(suffix))
+
+
 def _inline_value(namespace: Column, rules: list, key: str, default: str) -> Column:
     exact: dict[str, list[str]] = {}
     wild = []
@@ -32,13 +40,8 @@ def _inline_value(namespace: Column, rules: list, key: str, default: str) -> Col
     for value, names in exact.items():
         hit = namespace.isin(names)
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    name = F.concat(namespace, F.lit(key))
     for r in sorted(wild, key=lambda r: (-len(r.prefix), -len(r.suffix), r.rule)):
-        hit = (
-            name.startswith(r.prefix)
-            & name.endswith(r.suffix)
-            & (F.length(name) >= len(r.prefix) + len(r.suffix))
-        )
+        hit = _matches(namespace, r.prefix, r.suffix, key)
         out = F.when(hit, r.value) if out is None else out.when(hit, r.value)
     return F.lit(default) if out is None else out.otherwise(default)
 

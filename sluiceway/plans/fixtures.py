@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sluiceway.functions.keys import uuid_text
 from sluiceway.operators.admission import classify_requests
 from sluiceway.operators.messages import to_messages
 from sluiceway.session import configure
@@ -27,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, over at least as many tasks as there are cores.
+
+    A small table is one split, and what follows is heavy on the processor. A
+    table of enough splits is read as it is, without a shuffle.
+    """
     df = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _doc_id(number: Column) -> Column:
-    digest = F.md5((number % 2500).cast("string"))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, start, n) for start, n in cuts])
+    return uuid_text(F.md5((number % 2500).cast("string")))
 
 
 def requests_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,8 @@ def client_addr(spark, sf_dir):
 
 @query
 def client_addr_bytes(spark, sf_dir):
-    return fx.requests(spark, sf_dir).select("seq", F.hex(admission.sender_bytes()).alias("addr_hex"))
+    sent = admission.with_client_addr(fx.requests(spark, sf_dir))
+    return sent.select("seq", F.hex("ip_addr").alias("addr_hex"))
 
 
 def _message_text(df: DataFrame) -> DataFrame:

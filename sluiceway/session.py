@@ -10,11 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Static settings, for whoever builds the session. Recording a call site for
+# every Column expression triples the time it takes to build a plan.
+SESSION_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
+    """A local-mode session for tests and measurements."""
+    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)
+    settings = {"spark.sql.shuffle.partitions": str(cores), **SESSION_CONF, **conf}
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that results depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    # The JVM never compiles a method above 8000 bytes; beyond that, generated
+    # code split over several methods is faster than one fused stage.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluiceway.operators.state import HORIZON_MS, KEY
@@ -49,57 +48,52 @@ def _combine(batches):
 
 
 class _KeyState(StatefulProcessor):
+    """Newest put, unless a delete hides it, and newest delete of one key."""
+
     def __init__(self, horizon_ms: int):
         self._horizon_ms = horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._put = handle.getValueState("put", "put_ms long, put_seq long, put_ord int, payload binary")
-        self._tomb = handle.getValueState("tomb", "del_ms long")
+        self._kept = handle.getValueState(
+            "kept", "put_ms long, put_seq long, put_ord int, payload binary, del_ms long"
+        )
+
+    def _hidden(self, put_ms, del_ms) -> bool:
+        return del_ms is not None and put_ms <= del_ms + self._horizon_ms
 
     def handleInputRows(self, key, rows, timerValues):
-        put = self._put.get() if self._put.exists() else None
-        tomb = self._tomb.get()[0] if self._tomb.exists() else None
-        old_put, old_tomb = put, tomb
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if not pd.isna(r.put_ms):
-                    new = (int(r.put_ms), int(r.put_seq), int(r.put_ord), r.payload)
-                    if put is None or new[:3] > tuple(put[:3]):
-                        put = new
-                if not pd.isna(r.del_ms) and (tomb is None or r.del_ms > tomb):
-                    tomb = int(r.del_ms)
-        if put is not old_put:
-            self._put.update(tuple(put))
+        old = self._kept.get()
+        put, tomb = (tuple(old[:4]), old[4]) if old else ((None,) * 4, None)
+        old_tomb = tomb
+        for r in rows:
+            if r.put_ms is not None:
+                new = (r.put_ms, r.put_seq, r.put_ord, r.payload)
+                if put[0] is None or new[:3] > put[:3]:
+                    put = new
+            if r.del_ms is not None and (tomb is None or r.del_ms > tomb):
+                tomb = r.del_ms
+        if put[0] is not None and self._hidden(put[0], tomb):
+            put = (None,) * 4  # later deletes only hide more
+        self._kept.update((*put, tomb))
         if tomb != old_tomb:
             if old_tomb is not None:
                 self._handle.deleteTimer(old_tomb + self._horizon_ms)
-            self._tomb.update((tomb,))
             self._handle.registerTimer(tomb + self._horizon_ms)
-        yield self._row(key, put, tomb)
+        yield Row(
+            namespace=key[0], id=key[1], put_ms=put[0], put_seq=put[1], payload=put[3], del_ms=tomb,
+            alive=put[0] is not None,
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Past the horizon no later write can be hidden: forget the tombstone and what it hides."""
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        if self._tomb.exists() and self._tomb.get()[0] + self._horizon_ms == limit:
-            self._tomb.clear()
-            if self._put.exists() and self._put.get()[0] <= limit:
-                self._put.clear()
-        yield pd.DataFrame()
-
-    def _row(self, key, put, tomb):
-        alive = put is not None and (tomb is None or put[0] > tomb + self._horizon_ms)
-        return pd.DataFrame(
-            {
-                "namespace": [key[0]],
-                "id": [key[1]],
-                "put_ms": pd.array([put[0] if put else None], "Int64"),
-                "put_seq": pd.array([put[1] if put else None], "Int64"),
-                "payload": [bytes(put[3]) if put else None],
-                "del_ms": pd.array([tomb], "Int64"),
-                "alive": [alive],
-            }
-        )
+        """Past the horizon no later write can be hidden: forget the tombstone."""
+        kept = self._kept.get()
+        if kept and kept[4] is not None and kept[4] + self._horizon_ms == expiredTimerInfo.getExpiryTimeInMs():
+            if kept[0] is None:
+                self._kept.clear()
+            else:
+                self._kept.update((*kept[:4], None))
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -118,7 +112,7 @@ def keyed_state_stream(actions: DataFrame, horizon_ms: int = HORIZON_MS, latenes
     return (
         combined.withWatermark("at", lateness)
         .groupBy(*KEY)
-        .transformWithStateInPandas(
+        .transformWithState(
             _KeyState(horizon_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
         )
     )
