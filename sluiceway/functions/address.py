@@ -14,72 +14,49 @@ def client_addr(forwarded: Column, remote_addr: Column) -> Column:
     return F.coalesce(first, remote_addr)
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _quad_hex(addr: Column) -> Column:
-    """Hex of a dotted quad."""
-    front, back = F.substring_index(addr, ".", 2), F.substring_index(addr, ".", -2)
-    octets = [F.substring_index(half, ".", end).cast("long") for half in (front, back) for end in (1, -1)]
-    number = sum(n * (1 << shift) for n, shift in zip(octets, (24, 16, 8, 0)))
-    return F.lpad(F.hex(number), 8, "0")
-
-
-def _groups(side: Column) -> Column:
-    return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-
-
-def _tail_as_groups(addr: Column) -> Column:
-    """A dotted-quad tail stands for the last two 16-bit groups."""
-
-    def replaced(tail: Column) -> Column:
-        head = F.substring(addr, F.lit(1), F.length(addr) - F.length(tail))
-        return _bind(
-            _quad_hex(tail),
-            lambda digits: F.concat(head, F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4)),
-        )
-
-    return F.when(
-        addr.contains("."), _bind(F.regexp_extract(addr, f":({_QUAD})" + r"\z", 1), replaced)
-    ).otherwise(addr)
-
-
-def _eight_groups(halves: Column) -> Column:
-    """All groups, with the zero groups that ``::`` stands for; null when that does not give eight."""
-    sides = F.array(
-        _groups(F.get(halves, F.lit(0))), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    )
-
-    def filled(s: Column) -> Column:
-        missing = F.lit(8) - F.size(s[0]) - F.size(s[1])
-        zeros = F.array_repeat(F.lit("0"), missing)
-        fits = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing > 0))
-        return F.when(fits, F.concat(s[0], zeros, s[1]))
-
-    return _bind(sides, filled)
-
-
-def _ipv6_bytes(addr: Column) -> Column:
-    def packed(groups: Column) -> Column:
-        digits = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
-        # IPv4-mapped addresses are the 4 address bytes alone.
-        mapped = "0" * 20 + "f" * 4
-        return F.when(
-            F.forall(groups, lambda g: g.rlike(r"^[0-9a-fA-F]{1,4}\z")),
-            _bind(
-                F.lower(digits),
-                lambda d: F.unhex(F.when(d.startswith(mapped), F.substring(d, 25, 8)).otherwise(d)),
-            ),
-        )
-
-    halves = F.split(_tail_as_groups(addr), "::")
-    return _bind(_bind(halves, _eight_groups), packed)
-
-
-def address_bytes(addr: Column) -> Column:
-    """Network-order bytes of an IP literal; null for anything else (no name lookup)."""
-    return F.when(addr.rlike(f"^{_QUAD}" + r"\z"), F.unhex(_quad_hex(addr))).when(
-        addr.rlike(r"^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\z"), _ipv6_bytes(addr)
-    )
+def _quad_number(addr: str) -> str:
+    """A dotted quad as a number."""
+    octets = [
+        f"try_cast(substring_index(substring_index({addr}, '.', {half}), '.', {end}) AS bigint)"
+        for half in (2, -2)
+        for end in (1, -1)
+    ]
+    return "({} * 16777216 + {} * 65536 + {} * 256 + {})".format(*octets)
+
+
+# In the expressions below, transform(array(x), name -> use)[0] evaluates x once
+# however often the use mentions it.
+
+# A dotted-quad tail stands for the last two 16-bit groups.
+_TAIL_AS_GROUPS = f"""
+    CASE WHEN contains(addr, '.') THEN
+      transform(array(regexp_extract(addr, ':({_QUAD})$', 1)), tail ->
+        transform(array(lpad(hex({_quad_number('tail')}), 8, '0')), d ->
+          left(addr, length(addr) - length(tail)) || left(d, 4) || ':' || right(d, 4))[0])[0]
+    ELSE addr END"""
+
+# All eight groups, with the zero groups that "::" stands for; null when that does not give eight.
+_EIGHT_GROUPS = """
+    transform(array(array(
+        CASE WHEN halves[0] = '' THEN cast(array() AS array<string>) ELSE split(halves[0], ':') END,
+        CASE WHEN coalesce(get(halves, 1), '') = '' THEN cast(array() AS array<string>) ELSE split(halves[1], ':') END)),
+      side -> CASE
+        WHEN (size(halves) = 1 AND size(side[0]) = 8) OR (size(halves) = 2 AND size(side[0]) + size(side[1]) < 8)
+        THEN concat(side[0], array_repeat('0', 8 - size(side[0]) - size(side[1])), side[1]) END)[0]"""
+
+# IPv4-mapped addresses are the 4 address bytes alone.
+_PACKED = """
+    CASE WHEN forall(groups, g -> g RLIKE '^[0-9a-fA-F]{1,4}$') THEN
+      transform(array(lower(array_join(transform(groups, g -> lpad(g, 4, '0')), ''))), d ->
+        unhex(CASE WHEN startswith(d, '00000000000000000000ffff') THEN right(d, 8) ELSE d END))[0] END"""
+
+_IPV6_BYTES = f"""
+    transform(transform(array(split({_TAIL_AS_GROUPS}, '::')), halves -> {_EIGHT_GROUPS}), groups -> {_PACKED})[0]"""
+
+
+def address_bytes(addr: str) -> Column:
+    """Network-order bytes of the IP literal in column ``addr``; null for anything else (no name lookup)."""
+    text = F.col(addr)
+    quad = F.expr(f"unhex(lpad(hex({_quad_number(addr)}), 8, '0'))")
+    ipv6 = F.expr(f"transform(array({addr}), addr -> {_IPV6_BYTES})[0]")
+    return F.when(text.rlike(f"^{_QUAD}" + r"\z"), quad).when(text.rlike(r"^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\z"), ipv6)

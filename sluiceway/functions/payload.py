@@ -84,8 +84,11 @@ def _tokens_ok(body):
     pos = _SPACE.match(body).end()
     try:
         while pos < len(body):
-            _, pos = decoder.raw_decode(body, pos)
-            pos = _SPACE.match(body, pos).end()
+            _, end = decoder.raw_decode(body, pos)
+            pos = _SPACE.match(body, end).end()
+            # Numbers and words need a space before the next value.
+            if pos == end < len(body) and body[end - 1] not in '"]}':
+                return False
     except (ValueError, RecursionError):
         return False
     return True

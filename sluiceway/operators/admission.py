@@ -156,5 +156,5 @@ def inflate_payloads(df: DataFrame) -> DataFrame:
 def with_client_addr(df: DataFrame) -> DataFrame:
     """Add ``ip_addr``: bytes of the forwarded address, or of the socket address if that is no IP literal."""
     addr = client_addr(header("x-forwarded-for"), F.col("remote_addr"))
-    found = F.coalesce(address_bytes(F.col("_addr")), address_bytes(F.col("remote_addr")))
+    found = F.coalesce(address_bytes("_addr"), address_bytes("remote_addr"))
     return df.withColumn("_addr", addr).withColumn("ip_addr", found).drop("_addr")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from sluiceway.operators.ordering import CHUNK, running_totals
+from sluiceway.operators.ordering import CHUNK, int_div, running_totals
 from sluiceway.session import materialize
 
-ORDER = ["seq", "ord"]
+# Up to this many rows in all, files are planned by one ordered pass per group.
+DIRECT_ROWS = 10_000_000
 
 
 def flush_batches(
@@ -21,7 +23,7 @@ def flush_batches(
     if size <= 0:
         raise ValueError("the batch size must be positive")
     numbered = running_totals(df, list(group), list(order), {"_row": F.lit(1)}, chunk)
-    return numbered.withColumn("batch", F.floor(F.col("_row") / size)).drop("_row")
+    return numbered.withColumn("batch", int_div(F.col("_row"), size)).drop("_row")
 
 
 def poison_batches(
@@ -51,20 +53,25 @@ def plan_files(
     group: tuple[str, ...] = ("namespace", "ds", "shard"),
     order: tuple[str, ...] = ("seq", "ord"),
     chunk: int = CHUNK,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``file_no``: a writer opens the next file once the current one holds ``max_bytes``.
 
     The check runs before each append, so a file closes at the first record
     boundary at or past the limit; 0 never rolls. Where a file starts depends
-    on every earlier start. See ``_file_starts`` for how that chain is followed
-    without reading a group in one task.
+    on every earlier start: a table of up to ``direct_rows`` rows is read in
+    order, a larger one goes through ``_file_starts``, where no task reads a
+    whole group. ``df`` is written once; give it no more columns than needed.
     """
     if max_bytes < 0:
         raise ValueError("the file limit must not be negative")
     if max_bytes == 0:
         return df.withColumn("file_no", F.lit(0).cast("long"))
     keys = list(group)
-    placed = running_totals(df, keys, list(order), {"_at": F.col(n_bytes)}, chunk).withColumn(
+    rows = materialize(df, "file-records")
+    if rows.count() <= direct_rows:
+        return _ordered_pass(rows, keys, list(order), n_bytes, max_bytes)
+    placed = running_totals(rows, keys, list(order), {"_at": F.col(n_bytes)}, chunk).withColumn(
         "_slot", _slot(F.col("_at"), max_bytes)
     )
     placed = materialize(placed, "file-positions")
@@ -80,8 +87,28 @@ def plan_files(
     return placed.join(slots, [*keys, "_slot"]).select(*df.columns, (F.col("_opened") + own - 1).alias("file_no"))
 
 
+def _ordered_pass(df: DataFrame, keys: list[str], order: list[str], n_bytes: str, max_bytes: int) -> DataFrame:
+    def assign(batches):
+        group, used, file_no = None, 0, 0
+        for batch in batches:
+            sizes = batch.column(n_bytes).to_pylist()
+            assigned = []
+            for key, size in zip(zip(*[batch.column(k).to_pylist() for k in keys]), sizes):
+                if key != group:
+                    group, used, file_no = key, 0, 0
+                elif used >= max_bytes:
+                    used, file_no = 0, file_no + 1
+                used += size
+                assigned.append(file_no)
+            columns = [*batch.columns, pa.array(assigned, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "file_no"])
+
+    shape = T.StructType(df.schema.fields + [T.StructField("file_no", T.LongType())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(assign, shape)
+
+
 def _slot(at: Column, max_bytes: int) -> Column:
-    return F.floor(at / max_bytes)
+    return int_div(at, max_bytes)
 
 
 def _next_starts(points: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
@@ -129,34 +156,35 @@ def _file_starts(points: DataFrame, keys: list[str], max_bytes: int) -> DataFram
 
     A slot of ``max_bytes`` bytes holds at most one start. Level l joins the
     slots into blocks of 2**l. Its table says, for each position where the
-    chain can enter a block, where it leaves the block, and is built from the
-    level below with two joins; only positions reached from another block are
-    kept, about half as many per level, so all levels together stay within
-    twice the input. At the top one block spans the group and is entered at 0.
-    Going down again, each level adds the entries of the half blocks.
+    chain can enter a block, where it leaves the block, and comes from the level
+    below by two joins; only positions reached from another block are kept,
+    about half as many per level, so all levels together stay within twice the
+    input. At the top one block spans the group and is entered at 0. Going
+    down again, each level adds the entries of the half blocks.
     """
+
     def block(at: Column, level: int) -> Column:
-        return F.floor(at / (max_bytes << level))
+        return int_div(at, max_bytes << level)
 
-    top = (points.agg(F.max("_slot")).first()[0] or 0).bit_length()
     table = materialize(_next_starts(points, keys, max_bytes), "file-jumps")
-    tables = [table]
+    top = (table.agg(F.max(_slot(F.col("_at"), max_bytes))).first()[0] or 0).bit_length()
+    below = []
     for level in range(1, top + 1):
         leaves = block(F.col("nxt"), level) != block(F.col("_at"), level)
         entries = table.filter(leaves).select(*keys, F.col("nxt").alias("_at"))
         entries = entries.unionByName(table.filter("_at = 0").select(*keys, "_at")).distinct()
         second = table.select(*keys, F.col("_at").alias("nxt"), F.col("nxt").alias("_then"))
         stays = block(F.col("nxt"), level) == block(F.col("_at"), level)
-        table = (
+        below.append(table)
+        table = materialize(
             entries.join(table, [*keys, "_at"])
             .join(second, [*keys, "nxt"], "left")
-            .select(*keys, "_at", F.when(stays, F.col("_then")).otherwise(F.col("nxt")).alias("nxt"))
+            .select(*keys, "_at", F.when(stays, F.col("_then")).otherwise(F.col("nxt")).alias("nxt")),
+            "file-jumps",
         )
-        table = materialize(table, "file-jumps")
-        tables.append(table)
-    starts = tables[-1].filter("_at = 0").select(*keys, "_at")
-    for table in reversed(tables[:-1]):
+    starts = table.filter("_at = 0").select(*keys, "_at")
+    for table in reversed(below):
+        starts = materialize(starts, "file-starts")
         onward = starts.join(table, [*keys, "_at"]).filter("nxt is not null")
         starts = starts.unionByName(onward.select(*keys, F.col("nxt").alias("_at"))).distinct()
-        starts = materialize(starts, "file-starts")
     return starts.withColumn("_slot", _slot(F.col("_at"), max_bytes))

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CHUNK = 1 << 20
 
 
+def int_div(number: Column, by: int) -> Column:
+    """Whole quotient of a non-negative integer, also above 2**53 / ``by``."""
+    return ((number - F.pmod(number, F.lit(by))) / by).cast("long")
+
+
 def running_totals(
     df: DataFrame, group: list[str], order: list[str], totals: dict[str, Column], chunk: int = CHUNK
 ) -> DataFrame:
@@ -18,7 +23,7 @@ def running_totals(
     numbered inside runs of ``chunk`` log positions instead; the totals of the
     runs, one row each, are summed over the earlier runs and joined back.
     """
-    runs = df.withColumn("_run", F.floor(F.col(order[0]) / chunk))
+    runs = df.withColumn("_run", int_div(F.col(order[0]), chunk))
     keys = [*group, "_run"]
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*group).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)

@@ -47,85 +47,50 @@ def _doc_id(number: Column) -> Column:
 def requests_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event, headers as columns."""
     e = F.col("event_id")
-
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    def every(n: int, r: int = 0) -> Column:
-        return e % n == r
-
-    namespace = (
-        F.when(F.col("event_type") == "click", "telemetry")
-        .when(F.col("event_type") == "view", F.concat(F.lit("testpilot_"), text(e % 3)))
-        .when(F.col("event_type") == "purchase", "marketplace_apps")
-        .when(F.col("event_type") == "signup", "metrics")
-        .otherwise("bogus")
+    named = events(spark, sf_dir).withColumns(
+        {
+            "id0": _doc_id(e),
+            "id1": _doc_id(e + 1),
+            "id2": _doc_id(e + 2),
+            "ns": F.expr(
+                """CASE event_type WHEN 'click' THEN 'telemetry'
+                   WHEN 'view' THEN concat('testpilot_', event_id % 3)
+                   WHEN 'purchase' THEN 'marketplace_apps' WHEN 'signup' THEN 'metrics' ELSE 'bogus' END"""
+            ),
+        }
     )
-    rest = (
-        F.when(every(23), "")
-        .when(every(17), "/fakeid")
-        .otherwise(
-            F.concat(F.lit("/"), _doc_id(e), F.when(every(5), "/p1/p2").otherwise(""))
-        )
-    )
-    uri = F.when(every(101), "/").otherwise(
-        F.concat(
-            F.when(every(3), "/1.0").otherwise(""),
-            F.when(every(37), "/fetch/").otherwise("/submit/"),
-            namespace,
-            rest,
-        )
-    )
-    return events(spark, sf_dir).select(
-        e.alias("seq"),
-        (e % 8).alias("shard"),
-        F.unix_millis("ts").alias("recv_ms"),
-        F.when(every(11), "DELETE")
-        .when(every(29), "GET")
-        .when(every(43), "OPTIONS")
-        .when(every(31), "PUT")
-        .otherwise("POST")
-        .alias("method"),
-        uri.alias("uri"),
-        F.concat(F.lit("172.16.0."), text(F.col("user_id") % 250)).alias("remote_addr"),
-        F.when(every(4), F.concat(F.lit("10.0."), text(e % 256), F.lit(".7, 10.9.9.9")))
-        .when(every(4, 1), F.concat(F.lit("192.168.1."), text(e % 256)))
-        .alias("x_forwarded_for"),
-        F.when(every(7), F.concat(_doc_id(e + 1), F.lit(", "), _doc_id(e + 2), F.lit(",,")))
-        .when(every(49, 1), ",")
-        .when(every(49, 2), "")
-        .alias("x_obsolete_document"),
-        F.when(every(6), "application/json+zlib; v=1").otherwise("application/json").alias("content_type"),
-        F.when(every(12), "gzip").alias("content_encoding"),
-        F.when(every(19), "")
-        .when(every(13), '{ "k : 7 }')
-        .when(every(13, 1), F.concat("props", F.lit(" x")))
-        .when(every(53), F.concat(F.lit('{"pad":"'), F.repeat(F.lit("x"), 100), F.lit('"}')))
-        .otherwise(F.col("props"))
-        .alias("body"),
+    return named.selectExpr(
+        "event_id AS seq",
+        "event_id % 8 AS shard",
+        "unix_millis(ts) AS recv_ms",
+        """CASE WHEN event_id % 11 = 0 THEN 'DELETE' WHEN event_id % 29 = 0 THEN 'GET'
+           WHEN event_id % 43 = 0 THEN 'OPTIONS' WHEN event_id % 31 = 0 THEN 'PUT' ELSE 'POST' END AS method""",
+        """CASE WHEN event_id % 101 = 0 THEN '/' ELSE concat(
+             IF(event_id % 3 = 0, '/1.0', ''), IF(event_id % 37 = 0, '/fetch/', '/submit/'), ns,
+             CASE WHEN event_id % 23 = 0 THEN '' WHEN event_id % 17 = 0 THEN '/fakeid'
+                  ELSE concat('/', id0, IF(event_id % 5 = 0, '/p1/p2', '')) END) END AS uri""",
+        "concat('172.16.0.', user_id % 250) AS remote_addr",
+        """CASE event_id % 4 WHEN 0 THEN concat('10.0.', event_id % 256, '.7, 10.9.9.9')
+           WHEN 1 THEN concat('192.168.1.', event_id % 256) END AS x_forwarded_for""",
+        """CASE WHEN event_id % 7 = 0 THEN concat(id1, ', ', id2, ',,') WHEN event_id % 49 = 1 THEN ','
+           WHEN event_id % 49 = 2 THEN '' END AS x_obsolete_document""",
+        "IF(event_id % 6 = 0, 'application/json+zlib; v=1', 'application/json') AS content_type",
+        "IF(event_id % 12 = 0, 'gzip', NULL) AS content_encoding",
+        """CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 13 = 0 THEN '{ "k : 7 }'
+           WHEN event_id % 13 = 1 THEN concat(props, ' x')
+           WHEN event_id % 53 = 0 THEN concat('{"pad":"', repeat('x', 100), '"}') ELSE props END AS body""",
     )
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows in the request shape: a header map and a binary body."""
 
-    def one(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.array(c))
-
-    return requests_flat(spark, sf_dir).select(
-        "seq",
-        "shard",
-        "recv_ms",
-        "method",
-        "uri",
-        "remote_addr",
-        F.create_map(
-            F.lit("x-forwarded-for"), one("x_forwarded_for"),
-            F.lit("x-obsolete-document"), one("x_obsolete_document"),
-            F.lit("content-type"), one("content_type"),
-            F.lit("content-encoding"), one("content_encoding"),
-        ).alias("headers"),
-        F.col("body").cast("binary").alias("body"),
+    headers = ", ".join(
+        f"'{name.replace('_', '-')}', IF({name} IS NULL, NULL, array({name}))"
+        for name in ("x_forwarded_for", "x_obsolete_document", "content_type", "content_encoding")
+    )
+    return requests_flat(spark, sf_dir).selectExpr(
+        "seq", "shard", "recv_ms", "method", "uri", "remote_addr", f"map({headers}) AS headers", "binary(body) AS body"
     )
 
 
