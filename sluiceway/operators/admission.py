@@ -126,11 +126,9 @@ def classify_requests(
     ).drop("_verdict")
 
 
-def handled(df: DataFrame) -> DataFrame:
-    """Requests that reached the submission step as POST, PUT or DELETE: 201, 400 and 200 deletes."""
-    return df.filter(
-        F.col("outcome").isin(201, 400) | ((F.col("outcome") == 200) & ~F.col("uri").isin("/", ""))
-    )
+def is_handled() -> Column:
+    """Reached the submission step as POST, PUT or DELETE: 201, 400 and 200 deletes."""
+    return F.col("outcome").isin(201, 400) | ((F.col("outcome") == 200) & ~F.col("uri").isin("/", ""))
 
 
 def inflate_payloads(df: DataFrame) -> DataFrame:
@@ -153,6 +151,24 @@ def inflate_payloads(df: DataFrame) -> DataFrame:
     )
 
 
+def inflate_admitted(classified: DataFrame) -> DataFrame:
+    """Decode the bodies of classified requests and correct the outcome of what that shows.
+
+    A corrupt body of an admitted request is a server error (500
+    ``corrupt_body``), one that is empty once decoded a bad request.
+    """
+    opened = inflate_payloads(classified)
+    corrupt = F.col("reason").isNull() & is_handled() & F.col("inflate_failed")
+    emptied = (F.col("outcome") == 201) & ~F.col("inflate_failed") & (body_size(F.col("body")) == 0)
+    return pin(
+        opened,
+        {
+            "outcome": F.when(corrupt, 500).when(emptied, 400).otherwise(F.col("outcome")),
+            "reason": F.when(corrupt, "corrupt_body").when(emptied, "empty_body").otherwise(F.col("reason")),
+        },
+    ).drop("inflate_failed")
+
+
 def with_client_addr(df: DataFrame) -> DataFrame:
     """Add ``ip_addr``: bytes of the forwarded address, or of the socket address if that is no IP literal."""
     addr = client_addr(header("x-forwarded-for"), F.col("remote_addr"))

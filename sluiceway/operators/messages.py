@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.keys import fresh_id
-from sluiceway.operators.admission import handled, with_client_addr
+from sluiceway.operators.admission import is_handled, with_client_addr
 from sluiceway.schemas import CREATE_UPDATE, DELETE, MESSAGES
 
 OBSOLETE = "x-obsolete-document"
@@ -24,12 +24,16 @@ def obsolete_ids(values: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(present, _listed_ids)), F.array().cast("array<string>"))
 
 
-def to_messages(classified: DataFrame, stable_ids: bool = True) -> DataFrame:
+def to_messages(classified: DataFrame, stable_ids: bool = True, keep_rejected: bool = False) -> DataFrame:
     """Messages of the admitted requests.
 
     A POST or PUT gives its upsert and then one delete per obsolete document
     it names; these deletes do not need delete permission. A DELETE gives one
     delete. One scan: each request is expanded in place.
+
+    ``keep_rejected`` also lets each rejected request through as one row
+    without id and payload, its reason in an extra column ``rejected``, so that
+    one pass can serve the quarantine too.
     """
     own_id = F.coalesce(F.col("id"), fresh_id(F.col("seq"), stable_ids))
     is_delete = F.col("method") == "DELETE"
@@ -51,8 +55,16 @@ def to_messages(classified: DataFrame, stable_ids: bool = True) -> DataFrame:
         values.isNotNull() & ~is_delete,
         F.concat(own, F.transform(obsolete_ids(values), lambda v: item(v, F.lit(DELETE), no_payload))),
     ).otherwise(own)
-    admitted = handled(classified).filter(F.col("outcome") != 400)
-    return with_client_addr(admitted).select(
+    admitted = is_handled() & (F.col("outcome") != 400)
+    extra = []
+    if keep_rejected:
+        no_text = F.lit(None).cast("string")
+        named = F.when(F.col("reason").isNotNull(), F.array(item(no_text, no_text, no_payload))).otherwise(named)
+        admitted = admitted | F.col("reason").isNotNull()
+        extra = [F.col("reason").alias("rejected")]
+    names = [*MESSAGES.names, *[c for c in ("rejected",) if keep_rejected]]
+    return with_client_addr(classified.filter(admitted)).select(
+        *extra,
         "seq",
         "shard",
         F.col("recv_ms").alias("ts_ms"),
@@ -73,7 +85,8 @@ def to_messages(classified: DataFrame, stable_ids: bool = True) -> DataFrame:
         "m.operation",
         "api_version",
         "partition",
-    ).select(*MESSAGES.names)
+        *names[len(MESSAGES.names) :],
+    ).select(*names)
 
 
 def quarantine(classified: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sluiceway.operators.admission import body_size, handled
+from sluiceway.operators.admission import body_size, is_handled
 from sluiceway.operators.validation import DEFAULT_MAX_VALUE, is_oversized
 from sluiceway.session import materialize
 
@@ -18,7 +18,7 @@ def request_metrics(classified: DataFrame) -> DataFrame:
     method). The input is grouped once; the totals add up that small result.
     """
     n_bytes = F.when(F.col("method") == "DELETE", F.lit(0)).otherwise(body_size(F.col("body")))
-    base = handled(classified).groupBy("namespace", "method").agg(
+    base = classified.filter(is_handled()).groupBy("namespace", "method").agg(
         F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("n_bytes")
     )
     sets = [[F.col("namespace"), F.col("method")], [F.col("namespace")], [F.col("method")], []]
@@ -35,10 +35,7 @@ def response_counts(classified: DataFrame) -> DataFrame:
     Only the submission step knows the namespace; earlier rejections count in
     the totals alone.
     """
-    in_handler = F.col("outcome").isin(201, 400) | (
-        (F.col("outcome") == 200) & ~F.col("uri").isin("/", "")
-    )
-    base = classified.groupBy(F.when(in_handler, F.col("namespace")).alias("namespace"), "outcome").agg(
+    base = classified.groupBy(F.when(is_handled(), F.col("namespace")).alias("namespace"), "outcome").agg(
         F.count(F.lit(1)).alias("n")
     )
     sets = [[F.col("namespace"), F.col("outcome")], [F.col("outcome")]]

@@ -305,6 +305,7 @@ SELECT namespace, id, ts_ms, seq, ord, operation, payload FROM messages
 QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY ts_ms DESC, seq DESC, ord DESC) = 1"""),
     "keyed_state": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
     "keyed_state_stream": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
+    "keyed_state_stream_expiring": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
     "keyed_state_salted": _sql("newest_salted", "SELECT namespace, id, row_key, ts_ms, seq FROM newest_salted"),
     "keyed_state_salted_fixed": _sql("newest_salted", """
 SELECT namespace, id, row_key, ts_ms, seq FROM newest_salted LEFT JOIN tombs USING (namespace, id)

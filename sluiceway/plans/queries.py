@@ -573,7 +573,7 @@ def arrivals(df: DataFrame, tag: str, redelivered: DataFrame | None = None) -> D
     path = workspace(spark, tag)
     df.hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
     if redelivered is not None:
-        redelivered.write.mode("append").partitionBy("shard").parquet(path)
+        redelivered.hint("rebalance", F.col("shard")).write.mode("append").partitionBy("shard").parquet(path)
     files = max(1, spark.sparkContext.defaultParallelism // 4)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -592,16 +592,25 @@ def finished(stream: DataFrame, tag: str, mode: str = "update") -> str:
     return path
 
 
-@query
-def keyed_state_stream(spark, sf_dir):
+def _streamed_state(spark: SparkSession, sf_dir: str, lateness: str | None) -> DataFrame:
     actions = gated(spark, sf_dir).select("namespace", "id", "ts_ms", "seq", "ord", "action", "payload", "shard")
-    stream = live_state.keyed_state_stream(arrivals(actions, "actions"), lateness=NO_LATE_ROWS)
+    stream = live_state.keyed_state_stream(arrivals(actions, "actions"), lateness=lateness)
     table = batches.latest_updates(spark, finished(stream, "state"), ["namespace", "id"])
     return table.filter("alive").select(
         "namespace", "id", F.col("put_ms").alias("ts_ms"), F.col("put_seq").alias("seq"), text("payload").alias("payload")
     )
 
 
+@query
+def keyed_state_stream(spark, sf_dir):
+    return _streamed_state(spark, sf_dir, None)
+
+
+@query
+def keyed_state_stream_expiring(spark, sf_dir):
+    return _streamed_state(spark, sf_dir, NO_LATE_ROWS)
+
+
 @query
 def dedupe_stream(spark, sf_dir):
     rows = fx.messages(spark, sf_dir).withColumn("ts", keys.utc_time(F.col("ts_ms"))).drop("ip_addr", "partition")

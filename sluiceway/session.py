@@ -36,6 +36,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # The JVM never compiles a method above 8000 bytes; beyond that, generated
     # code split over several methods is faster than one fused stage.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")

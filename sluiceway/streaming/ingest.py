@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sluiceway.operators.admission import DEFAULT_MAX_BODY, classify_requests, inflate_payloads
-from sluiceway.operators.messages import quarantine, to_messages
+from sluiceway.operators.admission import DEFAULT_MAX_BODY, classify_requests, inflate_admitted
+from sluiceway.operators.messages import to_messages
 from sluiceway.operators.validation import DEFAULT_MAX_VALUE, Validator, gate_operations, is_oversized
 from sluiceway.sinks.archive import write_archive
 from sluiceway.sinks.batches import batch_path, write_batch
 from sluiceway.sinks.routing import route, write_routed
 from sluiceway.sinks.state_table import upsert_state
 
+TASK_ROWS = 1_000_000
+
 
-def ingest_batch(
+def prepare(
     requests: DataFrame,
-    batch_id: int,
-    path: str,
     policy: DataFrame,
     namespaces: list[str],
     routes: dict[str, str],
@@ -28,32 +26,38 @@ def ingest_batch(
     max_value: int = DEFAULT_MAX_VALUE,
     validators: list[Validator] | None = None,
     inflated: bool = False,
-    spread: int = 8,
-) -> None:
-    """Process one batch. Every output folder is named by the batch id, so a retry overwrites it.
+) -> DataFrame:
+    """Routed messages, and everything refused on the way with its ``reason``, in one pass.
 
-    ``routes`` maps namespace patterns to ``state`` or ``archive``.
+    Stateless, for a table or a stream. ``routes`` maps namespace patterns to
+    ``state`` or ``archive``.
     """
     classified = classify_requests(requests, policy, namespaces, limit)
-    rejected = quarantine(classified).select("seq", "namespace", "reason")
     if inflated:
-        opened = inflate_payloads(classified)
-        rejected = rejected.unionByName(
-            opened.filter("reason is null and inflate_failed").select("seq", "namespace", F.lit("corrupt_body").alias("reason"))
-        )
-        classified = opened.filter("not inflate_failed")
-    gated = gate_operations(to_messages(classified), validators)
+        classified = inflate_admitted(classified)
+    gated = route(gate_operations(to_messages(classified, keep_rejected=True), validators), routes)
     big = (F.col("action") == "store") & is_oversized(F.col("payload"), max_value)
-    gated = gated.withColumns(
+    lost = F.when(F.col("route").isNull() & F.col("rejected").isNull(), "unroutable")
+    return gated.withColumns(
         {
-            "reason": F.when(big, "oversized").otherwise(F.col("reason")),
+            "reason": F.coalesce("rejected", "reason", F.when(big, "oversized"), lost),
             "action": F.when(big, "invalid").otherwise(F.col("action")),
         }
-    )
-    gated = route(gated, routes).persist(StorageLevel.MEMORY_AND_DISK)
+    ).drop("rejected")
+
+
+def write_outputs(rows: DataFrame, batch_id: int, path: str, task_rows: int = TASK_ROWS) -> None:
+    """Write the state, archive and quarantine of one batch of prepared rows.
+
+    Every output folder is named by the batch id, so a retry overwrites it. An
+    archive day is spread over as many tasks as keep each near ``task_rows``
+    rows even if the day holds the whole batch.
+    """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        spread = 1 + rows.count() // task_rows
         write_routed(
-            gated,
+            rows.filter("reason is null"),
             {
                 "state": lambda df, i: upsert_state(df, f"{path}/state", i),
                 "archive": lambda df, i: write_archive(
@@ -62,19 +66,19 @@ def ingest_batch(
             },
             batch_id,
         )
-        refused = gated.filter("reason is not null or route is null").select(
-            "seq", "namespace", F.coalesce("reason", F.lit("unroutable")).alias("reason")
-        )
-        write_batch(rejected.unionByName(refused), f"{path}/quarantine", batch_id)
+        refused = rows.filter("reason is not null").select("seq", "namespace", "reason")
+        write_batch(refused, f"{path}/quarantine", batch_id)
     finally:
-        gated.unpersist()
+        rows.unpersist()
 
 
-def run_ingest(requests: DataFrame, path: str, trigger: dict | None = None, **settings) -> StreamingQuery:
-    """Start the stream; ``settings`` as for ``ingest_batch``. State of progress is kept below ``path``."""
-    step = partial(ingest_batch, path=path, **settings)
+def run_ingest(
+    requests: DataFrame, path: str, trigger: dict | None = None, task_rows: int = TASK_ROWS, **settings
+) -> StreamingQuery:
+    """Start the stream; ``settings`` as for ``prepare``. Its progress is kept below ``path``."""
     return (
-        requests.writeStream.foreachBatch(lambda df, i: step(df, i))
+        prepare(requests, **settings)
+        .writeStream.foreachBatch(lambda df, i: write_outputs(df, i, path, task_rows))
         .option("checkpointLocation", f"{path}/progress")
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -7,7 +7,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sluiceway.operators.state import HORIZON_MS, KEY
+from sluiceway.operators.state import HORIZON_MS, KEY, is_alive, partial_state
 
 PARTIAL = T.StructType(
     [
@@ -99,12 +99,29 @@ class _KeyState(StatefulProcessor):
         pass
 
 
-def keyed_state_stream(actions: DataFrame, horizon_ms: int = HORIZON_MS, lateness: str = "1 day") -> DataFrame:
+def keyed_state_stream(
+    actions: DataFrame, horizon_ms: int = HORIZON_MS, lateness: str | None = None
+) -> DataFrame:
     """Update-mode stream of the changed keys; the newest row per key equals the batch result.
 
-    Rows may come at most ``lateness`` behind the newest one. A put later than
-    that could show again a key whose tombstone has expired.
+    Without ``lateness`` this is the batch aggregation run as a stream: all in
+    the JVM, merged per key before the shuffle, any row order, but tombstones
+    stay in the state for good.
+
+    With it, a tombstone leaves the state once the horizon has passed. Rows may
+    then come at most ``lateness`` behind the newest one: a put later than that
+    could show again a key whose tombstone has expired.
     """
+    if lateness is None:
+        alive = is_alive(F.col("put_at.ts_ms"), F.col("del_ms"), horizon_ms)
+        return partial_state(actions).select(
+            *KEY,
+            F.col("put_at.ts_ms").alias("put_ms"),
+            F.col("put_at.seq").alias("put_seq"),
+            "payload",
+            "del_ms",
+            alive.alias("alive"),
+        )
     wanted = actions.filter(F.col("action").isin("store", "delete")).select(
         *KEY, "ts_ms", "seq", "ord", "action", "payload"
     )

@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ import __spark_entry__ as contract
 from sluiceway.operators import metrics, policy, records, replay, validation
 from sluiceway.plans import fixtures as fx
 from sluiceway.plans.queries import JSON, ROUTES, gated
+from sluiceway.schemas import REQUESTS
 from sluiceway.session import materialize, shared_dir
 from sluiceway.sinks import archive, batches, log, routing, state_table
 from sluiceway.sources import envelope, kv_archive
@@ -197,20 +199,34 @@ def snapshot(spark, path):
 
 def test_ingest_resumes_and_repeats(spark, sf_dir, tmp_path):
     """Two runs over a growing folder equal one batch, and a repeated batch id changes nothing."""
-    settings = dict(policy=fx.policy(spark), namespaces=fx.NAMESPACES, routes=ROUTES, limit=fx.MAX_BODY, validators=JSON, spread=2)
+    settings = dict(policy=fx.policy(spark), namespaces=fx.NAMESPACES, routes=ROUTES, limit=fx.MAX_BODY, validators=JSON)
     requests = materialize(fx.requests(spark, sf_dir), "requests")
     src, out, whole = (str(tmp_path / d) for d in ("in", "out", "whole"))
     for part in ("seq % 3 = 1", "seq % 3 <> 1"):
         requests.filter(part).coalesce(2).write.mode("append").parquet(src)
         stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        ingest.run_ingest(stream, out, **settings).awaitTermination()
-    ingest.ingest_batch(requests, 0, whole, **settings)
+        ingest.run_ingest(stream, out, task_rows=200, **settings).awaitTermination()
+    ingest.write_outputs(ingest.prepare(requests, **settings), 0, whole)
     first = snapshot(spark, whole)
     assert snapshot(spark, out) == first and all(first)
-    ingest.ingest_batch(requests, 0, whole, **settings)
+    ingest.write_outputs(ingest.prepare(requests, **settings), 0, whole)
     assert snapshot(spark, whole) == first
 
 
+def test_ingest_opens_bodies_after_the_size_limit(spark, tmp_path):
+    body, h = zlib.compress(b'{"k": 1}' * 100), {"content-encoding": ["deflate"]}
+    rows = [(0, h, body), (1, h, b"junk"), (2, h, zlib.compress(b"")), (3, {}, b'{"k": 2}'), (4, {}, b"x" * 101)]
+    data = [(i, 0, i, "POST", "/submit/metrics", "1.1.1.1", hd, bytearray(b)) for i, hd, b in rows]
+    out = ingest.prepare(
+        spark.createDataFrame(data, REQUESTS), fx.policy(spark), fx.NAMESPACES, ROUTES, limit=100, max_value=500, inflated=True
+    )
+    got = {r.seq: (r.reason, r.action, r.payload and len(r.payload)) for r in out.collect()}
+    assert got == {
+        0: ("oversized", "invalid", 800), 1: ("corrupt_body", "ignored", None), 2: ("empty_body", "ignored", None),
+        3: (None, "store", 8), 4: ("body_too_large", "ignored", None),
+    }
+
+
 def test_live_rates_in_update_mode(spark, sf_dir):
     stream = spark.readStream.format("rate").load().select(F.lit("n").alias("namespace"), F.col("timestamp").alias("ts"), F.col("value").alias("n_bytes"))
     assert live.stream_metrics(stream).isStreaming

@@ -113,14 +113,15 @@ def run(stream, out, progress):
     q.awaitTermination()
 
 
-def test_stream_equals_batch_across_a_restart(spark, tmp_path):
+@pytest.mark.parametrize("lateness", [None, "3650 days"])
+def test_stream_equals_batch_across_a_restart(spark, tmp_path, lateness):
     """Files in shuffled time order, the query stopped and resumed in between."""
     rows = actions(240)
     src, out, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
 
     def stream():
         df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-        return keyed_state_stream(df, H, "3650 days")
+        return keyed_state_stream(df, H, lateness)
 
     for i in (2, 0):
         spark.createDataFrame(rows[i::4], SCHEMA).coalesce(1).write.mode("append").parquet(src)
