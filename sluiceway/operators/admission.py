@@ -138,7 +138,7 @@ def inflate_payloads(df: DataFrame) -> DataFrame:
     corrupt body becomes null. Only compressed bodies go through Python.
     """
     encoding = effective_encoding(header("content-encoding"), header("content-type"))
-    coded = encoding.isin("gzip", "x-gzip", "deflate", "x-deflate")
+    coded = F.lower(encoding).isin("gzip", "x-gzip", "deflate", "x-deflate")
     out = df.withColumn("_coded", F.coalesce(coded, F.lit(False))).withColumn(
         "_plain", inflate(F.when(F.col("_coded"), F.col("body")))
     )
