@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sluiceway.functions.payload import merge_timestamp, text
+from sluiceway.functions.payload import merge_timestamp
 
 
 def record_sizes(df: DataFrame, key: str = "key", value: str = "value", with_values: bool = False) -> DataFrame:
@@ -38,7 +38,3 @@ def dedupe_redelivered(df: DataFrame, delay: str | None = None, ts: str = "ts")
             raise ValueError("a stream needs a delay")
         return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(position)
     return df.dropDuplicates(position)
-
-
-def text_payload(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload", text(F.col("payload")))

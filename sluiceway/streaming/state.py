@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,16 +33,16 @@ def _combine(batches):
         t = pa.Table.from_batches([batch]).sort_by(
             [("ts_ms", "ascending"), ("seq", "ascending"), ("ord", "ascending")]
         )
-        is_put = pa.compute.equal(t["action"], "store")
+        is_put = pc.equal(t["action"], "store")
         puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate(
             [(c, "last") for c in ("ts_ms", "seq", "ord", "payload")]
         )
-        dels = t.filter(pa.compute.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last")])
+        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last")])
         puts = puts.rename_columns(
             {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "payload_last": "payload"}
         )
         both = puts.join(dels.rename_columns({"ts_ms_last": "del_ms"}), KEY, join_type="full outer")
-        newest = pa.compute.max_element_wise(both["put_ms"], both["del_ms"])
+        newest = pc.max_element_wise(both["put_ms"], both["del_ms"])
         out = both.append_column("newest_ms", newest).select(PARTIAL.names)
         yield from out.to_batches()
 

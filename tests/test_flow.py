@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from sluiceway.operators import metrics, policy, records, replay, validation
 from sluiceway.plans import fixtures as fx
-from sluiceway.plans.queries import JSON, ROUTES, gated
+from sluiceway.plans.queries import JSON, ROUTES
 from sluiceway.schemas import REQUESTS
 from sluiceway.session import materialize, shared_dir
 from sluiceway.sinks import archive, batches, log, routing, state_table
