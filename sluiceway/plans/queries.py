@@ -539,7 +539,7 @@ def keyed_state_salted_fixed(spark, sf_dir):
 def archive_by_day(spark, sf_dir):
     path = workspace(spark, "archive")
     archive.write_archive(gated(spark, sf_dir), path)
-    back = spark.read.schema("key string, value binary, namespace string, ds string").parquet(path)
+    back = spark.read.schema(archive.ARCHIVE).parquet(path)
     return back.groupBy("namespace", "ds").agg(n_rows(), F.sum(F.octet_length("value")).alias("n_bytes"))
 
 
@@ -643,7 +643,7 @@ def ingest_e2e(spark, sf_dir):
         validators=JSON,
     ).awaitTermination()
     live_rows = state_table.read_state(spark, f"{path}/state").groupBy("namespace").agg(n_rows())
-    stored = batches.read_batches(spark, f"{path}/archive").groupBy("namespace").agg(n_rows())
+    stored = batches.read_batches(spark, f"{path}/archive", schema=archive.ARCHIVE).groupBy("namespace").agg(n_rows())
     refused = batches.read_batches(spark, f"{path}/quarantine").groupBy("reason").agg(n_rows())
     parts = [(live_rows, "state", "namespace"), (stored, "archive", "namespace"), (refused, "quarantine", "reason")]
     out = [df.select(F.lit(sink).alias("sink"), F.col(c).alias("item"), "n") for df, sink, c in parts]

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from sluiceway.functions.keys import utc_time
 
 DEFAULT_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
+# Columns of an archive, its folders last.
+ARCHIVE = "key string, value binary, namespace string, ds string"
 
 
 def archive_rows(actions: DataFrame, date_by: str = "event", date_format: str = "yyyy-MM-dd") -> DataFrame:

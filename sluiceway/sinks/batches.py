@@ -29,17 +29,27 @@ def committed_batches(spark: SparkSession, path: str, name: str = "batch") -> li
     return sorted(done)
 
 
-def read_batches(spark: SparkSession, path: str, after: int = -1) -> DataFrame | None:
-    """Rows of the finished batches with an id above ``after``; None when there are none."""
+def read_batches(
+    spark: SparkSession, path: str, after: int = -1, schema: str | None = None
+) -> DataFrame | None:
+    """Rows of the finished batches with an id above ``after``; None when there are none.
+
+    Give the ``schema`` where all batches may be without rows.
+    """
     ids = [i for i in committed_batches(spark, path) if i > after]
     if not ids:
         return None
-    return spark.read.option("basePath", path).parquet(*[batch_path(path, i) for i in ids])
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        reader = reader.schema(f"{schema}, batch long")
+    return reader.parquet(*[batch_path(path, i) for i in ids])
 
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row of each key over all batches of an update-mode stream."""
     rows = read_batches(spark, path)
+    if rows is None:
+        raise ValueError(f"no finished batch below {path}")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return (
         rows.groupBy(*keys)

@@ -6,8 +6,6 @@ from a descriptor inside the task.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -37,8 +35,8 @@ ENCODED = T.StructType(
 DECODED = T.StructType(MESSAGES.fields + [T.StructField("reason", T.StringType())])
 
 
-@lru_cache(maxsize=1)
 def _envelope():
+    """The message class; made once per task."""
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
     kinds = descriptor_pb2.FieldDescriptorProto
@@ -58,8 +56,8 @@ def _envelope():
     return message_factory.GetMessageClass(pool.FindMessageTypeByName("envelope.Message"))
 
 
-def _encode_row(row: dict) -> bytes:
-    message = _envelope()()
+def _encode_row(envelope, row: dict) -> bytes:
+    message = envelope()
     for name in ("namespace", "id", "ip_addr", "payload", "api_version"):
         if row[name] is not None:
             setattr(message, name, row[name])
@@ -71,13 +69,13 @@ def _encode_row(row: dict) -> bytes:
     return message.SerializeToString()
 
 
-def _decode_row(value: bytes | None) -> dict | None:
+def _decode_row(envelope, value: bytes | None) -> dict | None:
     from google.protobuf.message import DecodeError
 
     if value is None:
         return None
     try:
-        message = _envelope().FromString(value)
+        message = envelope.FromString(value)
     except DecodeError:
         return None
 
@@ -100,8 +98,9 @@ def encode_messages(df: DataFrame) -> DataFrame:
     """(seq, shard, ord, topic, key, value) with the envelope bytes as ``value``."""
 
     def encode(batches):
+        envelope = _envelope()
         for batch in batches:
-            value = pa.array([_encode_row(r) for r in batch.to_pylist()], pa.binary())
+            value = pa.array([_encode_row(envelope, r) for r in batch.to_pylist()], pa.binary())
             names = ["seq", "shard", "ord", "namespace", "id"]
             columns = [batch.column(n) for n in names] + [value]
             yield pa.RecordBatch.from_arrays(columns, ENCODED.names)
@@ -120,8 +119,9 @@ def decode_messages(df: DataFrame, mode: str = "permissive") -> DataFrame:
     names = [n for n in DECODED.names if n not in ("seq", "shard", "ord", "reason")]
 
     def decode(batches):
+        envelope = _envelope()
         for batch in batches:
-            rows = [_decode_row(v) for v in batch.column("value").to_pylist()]
+            rows = [_decode_row(envelope, v) for v in batch.column("value").to_pylist()]
             if mode == "failfast" and None in rows:
                 raise ValueError(f"undecodable message at seq {batch.column('seq')[rows.index(None)]}")
             columns = {n: batch.column(n) for n in ("seq", "shard", "ord")}

@@ -213,6 +213,18 @@ def test_ingest_resumes_and_repeats(spark, sf_dir, tmp_path):
     assert snapshot(spark, whole) == first
 
 
+def test_batches_without_rows(spark, tmp_path):
+    """A batch of which nothing is stored still leaves readable outputs."""
+    data = [(0, 0, 0, "POST", "/submit/bogus", "1.1.1.1", {}, bytearray(b"x"))]
+    rows = ingest.prepare(spark.createDataFrame(data, REQUESTS), fx.policy(spark), fx.NAMESPACES, ROUTES)
+    ingest.write_outputs(rows, 0, str(tmp_path))
+    assert batches.read_batches(spark, f"{tmp_path}/archive", schema=archive.ARCHIVE).count() == 0
+    assert state_table.read_state(spark, f"{tmp_path}/state").count() == 0
+    assert [r.reason for r in batches.read_batches(spark, f"{tmp_path}/quarantine").collect()] == ["namespace"]
+    with pytest.raises(ValueError):
+        batches.latest_updates(spark, f"{tmp_path}/none", ["id"])
+
+
 def test_ingest_opens_bodies_after_the_size_limit(spark, tmp_path):
     body, h = zlib.compress(b'{"k": 1}' * 100), {"content-encoding": ["deflate"]}
     rows = [(0, h, body), (1, h, b"junk"), (2, h, zlib.compress(b"")), (3, {}, b'{"k": 2}'), (4, {}, b"x" * 101)]
