@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Used by single-process sessions only.
+LOCAL_DIR = "/tmp/checkpoints"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,24 +46,25 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    Only a local-mode session without one gets a temporary folder.
+    Only a session whose tasks run in the driver's own process may do without
+    the setting; on a cluster it is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dir()
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="sluiceway-")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def workspace(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the application ends."""
+    run = f"{shared_dir(spark)}/sluiceway-{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(run)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{run}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
