@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluiceway.llm import licences, near_dedup, quality, sharding, toxicity, url_filter
+from sluiceway.llm import html_diff, licences, near_dedup, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "weight", "clauses")
 
 
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_diff.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
