@@ -67,8 +67,8 @@ def workspace(spark: SparkSession, tag: str) -> str:
     return f"{run}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Cut the lineage of ``df`` by writing it once and reading it back."""
     path = workspace(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
