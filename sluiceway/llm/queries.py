@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluiceway.llm import html_diff, licences, near_dedup, quality, sharding, toxicity, url_filter
+from sluiceway.llm import html_diff, licences, near_dedup, packing, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
@@ -36,6 +43,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in packed sequences."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
