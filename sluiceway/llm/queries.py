@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluiceway.llm import html_diff, licences, near_dedup, packing, quality, sharding, toxicity, url_filter
+from sluiceway.llm import decontaminate, html_diff, licences, near_dedup, packing, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +61,24 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document holds a benchmark item, and which."""
+    docs = table(spark, sf_dir, "documents")
+    leaks = decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark"))
+    held = leaks.groupBy("doc_id").agg(
+        F.count("*").alias("n_items"), F.max("share").alias("overlap"), F.array_sort(F.collect_list("item_id")).alias("item_ids")
+    )
+    return docs.select("doc_id").join(held, "doc_id", "left").select(
+        "doc_id",
+        F.col("n_items").isNotNull().alias("contaminated"),
+        F.col("n_items").isNull().alias("kept"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
+        F.coalesce(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), F.lit("")).alias("item_ids"),
+    )
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
