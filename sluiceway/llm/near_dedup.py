@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sluiceway.llm.components import connected_components
+from sluiceway.llm.pairs import with_both
 from sluiceway.llm.shingles import WordHasher, mix, shingle_hashes
 from sluiceway.session import materialize
 
 WIDTH = 5
 # Bands of rows: pairs at similarity 0.85 share no bucket once in 2 million.
 BANDS, ROWS = 25, 5
-# Pairs of one document that are compared in one task.
-SALTED = 256
 
 
 def _densify_table(bins: int, tries: int = 256) -> np.ndarray:
@@ -128,19 +127,8 @@ def _compared(percent: int):
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """Pairs (centre, member) with their verdicts, from the whole sets.
-
-    A centre with many members is copied, so that each copy meets a bounded number of them.
-    """
-    degree = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("copies"))
-    copies = degree.join(sets.withColumnRenamed("hashes", "first"), F.col("centre") == F.col("id")).select(
-        "centre", "first", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    )
-    dealt = pairs.join(degree, "centre").select(
-        "centre", "member", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("copy")
-    )
-    dealt = dealt.join(sets.withColumnRenamed("hashes", "second"), F.col("member") == F.col("id")).drop("id")
-    both = dealt.join(copies.drop("copies"), ["centre", "copy"]).select("centre", "member", "first", "second")
+    """Pairs (centre, member) with their verdicts, from the whole sets."""
+    both = with_both(pairs, sets, "hashes")
     schema = "centre long, member long, linked boolean, common long, leads array<bigint>"
     return materialize(both.mapInArrow(_compared(percent), schema), tag)
 

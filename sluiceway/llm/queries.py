@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluiceway.llm import decontaminate, html_diff, licences, near_dedup, packing, quality, sharding, toxicity, url_filter
+import corpus_pipeline
+from sluiceway.llm import decontaminate, html_diff, licences, line_dedup, near_dedup, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,13 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    import public_tokenizers
-
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
@@ -46,7 +40,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in packed sequences."""
-    return packed(table(spark, sf_dir, "documents"))
+    return corpus_pipeline.pack(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
 @query
@@ -55,6 +49,15 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines that stay."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "text", "n_lines", "n_removed", "n_chars_left", "n_chars_lines", (~line_dedup.used_up()).alias("kept")
+    )
+
+
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
@@ -107,3 +110,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         sharding.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents through all stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
