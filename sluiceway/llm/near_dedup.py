@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.pairs import with_both
@@ -97,30 +97,39 @@ def _compared(percent: int):
     at most |x & c| lie in the centre c, so the rest lie in x - c, and any
     |x - c| - rest + 1 elements of x - c hold one. Where x lies in c so far
     that nothing need be left, the elements are taken from all of x.
+    ``leads`` are those to take from, ``enough`` how many to take.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, common, leads = [], [], []
+            linked, common, leads, enough = [], [], [], []
             for one, two in zip(batch.column(2), batch.column(3)):
                 c, x = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (one, two))
-                shared = np.intersect1d(c, x, assume_unique=True)
-                both = len(shared)
+                both = len(np.intersect1d(c, x, assume_unique=True))
                 same = 100 * both >= percent * (len(c) + len(x) - both)
                 linked.append(same)
                 common.append(both)
                 least = -(-percent * len(x) // 100)
                 if same:
                     leads.append(None)
+                    enough.append(0)
                 elif least > both:
                     own = np.setdiff1d(x, c, assume_unique=True)
-                    leads.append(own[: max(0, len(own) - (least - both) + 1)].view(np.int64))
+                    leads.append(own.view(np.int64))
+                    enough.append(max(0, len(own) - (least - both) + 1))
                 else:
-                    own = np.concatenate([np.setdiff1d(x, c, assume_unique=True), shared])
-                    leads.append(own[: len(x) - least + 1].view(np.int64))
+                    leads.append(x.view(np.int64))
+                    enough.append(len(x) - least + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(leads, pa.list_(pa.int64()))],
-                names=["centre", "member", "linked", "common", "leads"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(linked, pa.bool_()),
+                    pa.array(common, pa.int64()),
+                    pa.array(leads, pa.list_(pa.int64())),
+                    pa.array(enough, pa.int64()),
+                ],
+                names=["centre", "member", "linked", "common", "leads", "enough"],
             )
 
     return run
@@ -129,7 +138,7 @@ def _compared(percent: int):
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """Pairs (centre, member) with their verdicts, from the whole sets."""
     both = with_both(pairs, sets, "hashes")
-    schema = "centre long, member long, linked boolean, common long, leads array<bigint>"
+    schema = "centre long, member long, linked boolean, common long, leads array<bigint>, enough long"
     return materialize(both.mapInArrow(_compared(percent), schema), tag)
 
 
@@ -160,11 +169,10 @@ def near_duplicates(
     Equal sets are one representative each, however many copies. One-permutation
     signatures with optimal densification are cut into bands; in each bucket the
     members meet one centre, the one that the most other buckets share, so a
-    bucket of n gives n - 1 pairs. Those outside the centre's component meet a
-    second centre among themselves. What then still shares a bucket with
-    another component is searched exactly: a partner must hold some of the
-    shingles that the document does not share with its centre, and the joins on
-    those give the remaining pairs. Every link is confirmed on full sets.
+    bucket of n gives n - 1 pairs. Members in another component than their
+    centre are searched exactly: a partner must hold some of the shingles that
+    such a document does not share with its centre, and a join on the rarest of
+    those gives the remaining pairs. Every link is confirmed on full sets.
 
     Returns ``id``, n_shingles, component_id (the smallest id reachable) and
     kept (whether it is the document itself). Empty and null texts have no
@@ -191,10 +199,7 @@ def near_duplicates(
 
     outside = _outsiders(members, centres, parts)
     if not outside.isEmpty():
-        second = _stars(outside, _centres(outside)).join(done, ["centre", "member"], "left_anti")
-        done = done.union(_compare(second, sets, percent, "star"))
-        parts = connected_components(done.where("linked"), "centre", "member")
-        rest = _searched(_outsiders(members, centres, parts), done, members, sets)
+        rest = _searched(outside, done, members, sets, percent)
         if not rest.isEmpty():
             done = done.union(_compare(rest, sets, percent, "rest"))
             parts = connected_components(done.where("linked"), "centre", "member")
@@ -221,18 +226,28 @@ def _outsiders(members: DataFrame, centres: DataFrame, parts: DataFrame) -> Data
     return materialize(placed.join(cores, "key").where(F.col("part") != F.col("core")).select("key", "id"), "outside")
 
 
-def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that may still link an outsider to another member of its buckets.
 
-    An outsider has failed against a centre; what leads to its partners comes from its closest comparison.
+    An outsider has failed against a centre; what leads to its partners comes
+    from its closest comparison, the rarest shingles first. A shingle is counted
+    over the members of the outsiders' buckets, which hold every partner.
     """
-    failed = done.where(~F.col("linked")).select(F.col("member").alias("id"), "common", "leads")
-    closest = failed.join(outside.select("id").distinct(), "id").groupBy("id").agg(F.max(F.struct("common", "leads")).alias("top"))
-    leads = closest.select("id", F.explode("top.leads").alias("h"))
+    failed = done.where(~F.col("linked")).select(F.col("member").alias("id"), "common", "leads", "enough")
+    closest = failed.join(outside.select("id").distinct(), "id").groupBy("id").agg(F.max(F.struct("common", "leads", "enough")).alias("top"))
+    leads = closest.select("id", "top.enough", F.explode("top.leads").alias("h"))
     near = members.join(outside.select("key").distinct(), "key", "left_semi").select("id").distinct()
-    numbers = sets.join(near, "id", "left_semi").mapInArrow(_numbers, "id long, hashes array<bigint>")
-    tokens = numbers.select(F.col("id").alias("other"), F.explode("hashes").alias("h"))
-    found = leads.join(tokens, "h").where(F.col("id") != F.col("other"))
+    numbers = sets.join(near, "id", "left_semi").mapInArrow(_numbers, "id long, n long, hashes array<bigint>")
+    tokens = numbers.select(F.col("id").alias("other"), "n", F.explode("hashes").alias("h"))
+    tokens = materialize(tokens.join(leads.select("h").distinct(), "h", "left_semi"), "tokens")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))  # one document's shingles
+    held = leads.join(tokens.groupBy("h").agg(F.count("*").alias("held")), "h")
+    rarest = held.where(F.col("held") > 1).select("id", "h", "enough", rank.alias("rank"))
+    alone = held.where(F.col("held") == 1).groupBy("id").agg(F.count("*").alias("alone"))
+    rarest = rarest.join(alone, "id", "left").where(F.col("rank") + F.coalesce("alone", F.lit(0)) <= F.col("enough")).select("id", "h")
+    found = rarest.join(tokens, "h").where(F.col("id") != F.col("other")).select("id", "other", "n").distinct()
+    sizes = sets.select("id", (F.length("hashes") / 8).cast("long").alias("m"))
+    found = found.join(sizes, "id").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     found = found.select(F.least("id", "other").alias("centre"), F.greatest("id", "other").alias("member")).distinct()
     tested = done.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
     return materialize(found.join(tested, ["centre", "member"], "left_anti"), "pairs")
@@ -241,4 +256,5 @@ def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: Dat
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.frombuffer(v.as_py(), dtype=np.int64) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
+        sizes = pa.array([len(f) for f in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "hashes"])
