@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
 KEPT_WORDS = 400_000
 # A space before white space, or at the end, joins its neighbour in one token.
 JOINED = re.compile(r" (?=\s|\Z)")
+# Characters whose class the libraries' Unicode versions might not agree on.
+FOREIGN = re.compile("[^\x00-\u024f]")
+# The byte-level pre-tokenizer's pattern (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -81,6 +87,8 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before a space that a visible
     character follows, so the pieces between such spaces encode on their own.
+    Latin pieces go to the faster of two libraries where the file's merges are
+    in the order of its ids, as both then give the same ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,34 +97,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.fast = _ranked(path)
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        out: list[bytes] = []
+        for text in texts:
+            if self.fast is None or FOREIGN.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = self.fast(text)
+            out.append(array(self.code, ids).tobytes())
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        end = np.array([END], dtype=self.kind).tobytes()
+        end = array(self.code, [END]).tobytes()
         split = [None if JOINED.search(t) else t.split(" ") for t in texts]
-        whole = [t for t, parts in zip(texts, split) if parts is None]
-        heads = [parts[0] for parts in split if parts is not None]
-        alone = iter(self._encode(whole))
-        first = iter(self._encode(heads))
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words
         new = list({p for parts in split if parts is not None for p in parts[1:]} - known.keys())
         known.update(zip(new, self._encode([f" {p}" for p in new])))
         out = []
-        for parts in split:
+        for text, parts in zip(texts, split):
             if parts is None:
-                out.append(next(alone) + end)
+                out.append(self._encode([text])[0] + end)
             else:
-                out.append(next(first) + b"".join(map(known.__getitem__, parts[1:])) + end)
+                out.append(self._encode(parts[:1])[0] + b"".join(map(known.__getitem__, parts[1:])) + end)
         return out
 
 
+def _ranked(path: str):
+    """An encoding function for a byte-level file whose ids are in merge order, else None."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    if model.get("normalizer") or model["pre_tokenizer"].get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    added = {t["content"] for t in model["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): n for t, n in model["model"]["vocab"].items() if t not in added}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+    made = [ranks.get(bytes(byte[c] for c in a + b), -1) for a, b in merges]
+    if len(ranks) != 256 + len(made) or made != sorted(made) or made[0] < 256:
+        return None
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+
 def _encoder(path: str) -> Encoder:
     """The worker process's encoder: loaded once, not once a task."""
     store = sys.modules.setdefault("sluiceway_worker", types.ModuleType("sluiceway_worker"))
@@ -140,7 +174,7 @@ def _in_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
 def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, hasher, signs = _encoder(path), WordHasher(), projection(BUCKETS, DIMENSIONS)
-        width = encoder.kind.itemsize
+        width = encoder.width
         for batch in batches:
             ids, texts, done = batch.column(0), batch.column(1).to_pylist(), 0
             for group in _in_groups([t or "" for t in texts]):
