@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from sluiceway.llm import decontaminate, html_diff, licences, line_dedup, near_dedup, quality, sharding, toxicity, url_filter
+from sluiceway.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
