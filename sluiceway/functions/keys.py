@@ -23,9 +23,14 @@ def stable_uuid(*parts: Column) -> Column:
     return uuid_text(F.md5(F.concat_ws(":", *parts)))
 
 
-def fresh_id(seq: Column, stable: bool = True) -> Column:
-    """Id for a record that brings none. ``stable=False`` draws a random one."""
-    return stable_uuid(F.lit("id"), seq.cast("string")) if stable else F.uuid()
+def at_position(*position: Column) -> list[Column]:
+    """Text of a log position, nulls told apart from each other's neighbours."""
+    return [F.coalesce(p.cast("string"), F.lit("")) for p in position]
+
+
+def fresh_id(*position: Column, stable: bool = True) -> Column:
+    """Id for a record that brings none, from its whole log position. ``stable=False`` draws a random one."""
+    return stable_uuid(F.lit("id"), *at_position(*position)) if stable else F.uuid()
 
 
 def utc_time(ts_ms: Column) -> Column:

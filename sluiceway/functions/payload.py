@@ -100,8 +100,18 @@ def _json_token_stream(body: pd.Series) -> pd.Series:
 
 
 def merge_timestamp(payload: Column, ts_ms: Column, field: str = "ingest_ts") -> Column:
-    """The payload's JSON object with ``field`` set to ``ts_ms``; null when it is no object."""
-    members = F.try_parse_json(text(payload)).try_cast("map<string,variant>")
-    kept = F.map_filter(members, lambda k, _: k != field)
+    """The payload's JSON object with ``field`` set to ``ts_ms``; null when it is no object.
+
+    The field is written before the closing brace, so all else stays as sent,
+    long numbers included. Only an object that has the field already, or that
+    other text follows, is taken apart; its numbers of more than 38 digits
+    become floating-point.
+    """
+    body = text(payload)
+    members = F.try_parse_json(body).try_cast("map<string,variant>")
     stamp = F.create_map(F.lit(field), ts_ms.cast("variant"))
-    return F.to_json(F.map_concat(kept, stamp))
+    rebuilt = F.to_json(F.map_concat(F.map_filter(members, lambda k, _: k != field), stamp))
+    mark = F.concat(F.when(F.cardinality(members) > 0, ",").otherwise(""), F.lit(json.dumps(field) + ":"), F.coalesce(ts_ms.cast("string"), F.lit("null")))
+    open_object = F.regexp_replace(body, r"(?s)\}[ \t\r\n]*\z", "")
+    written = ~F.map_contains_key(members, field) & valid_json(body)
+    return F.when(written, F.concat(open_object, mark, F.lit("}"))).when(members.isNotNull(), rebuilt)

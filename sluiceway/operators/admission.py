@@ -17,6 +17,10 @@ ID_VALIDATION = ".id.validation"
 ALLOW_DELETE = ".allow.delete.access"
 
 
+# A request's place in the log: seq counts within a shard.
+REQUEST_POSITION = ("namespace", "shard", "seq")
+
+
 def header(name: str, index: int = 0) -> Column:
     """First (or ``index``-th) value of a header."""
     return F.get(F.col("headers")[name], F.lit(index))
@@ -45,8 +49,8 @@ def parse_requests(df: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, stable: bool = True) -> DataFrame:
-    """Give rows without an id one derived from ``seq`` (or a random one)."""
-    return df.withColumn("id", F.coalesce(F.col("id"), fresh_id(F.col("seq"), stable)))
+    """Give rows without an id one derived from their log position (or a random one)."""
+    return df.withColumn("id", F.coalesce(F.col("id"), fresh_id(*map(F.col, REQUEST_POSITION), stable=stable)))
 
 
 def body_size(body: Column) -> Column:

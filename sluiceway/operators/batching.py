@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sluiceway.operators.ordering import CHUNK, int_div, running_totals
+from sluiceway.operators.ordering import CHUNK, int_div, join_groups, running_totals
 from sluiceway.session import materialize
 
-# Up to this many rows in all, files are planned by one ordered pass per group.
-DIRECT_ROWS = 10_000_000
-
-
 def flush_batches(
     df: DataFrame,
     size: int = 100,
@@ -53,15 +48,16 @@ def plan_files(
     group: tuple[str, ...] = ("namespace", "ds", "shard"),
     order: tuple[str, ...] = ("seq", "ord"),
     chunk: int = CHUNK,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``file_no``: a writer opens the next file once the current one holds ``max_bytes``.
 
     The check runs before each append, so a file closes at the first record
     boundary at or past the limit; 0 never rolls. Where a file starts depends
-    on every earlier start: a table of up to ``direct_rows`` rows is read in
-    order, a larger one goes through ``_file_starts``, where no task reads a
-    whole group. ``df`` is written once; give it no more columns than needed.
+    on every earlier start; ``_file_starts`` finds them without a task that
+    reads a whole group. Null group values are groups, null sizes count as 0.
+
+    Runs jobs while the plan is built: ``df`` is written once, so give it no
+    more columns than needed, and each level of the search is a written table.
     """
     if max_bytes < 0:
         raise ValueError("the file limit must not be negative")
@@ -69,42 +65,19 @@ def plan_files(
         return df.withColumn("file_no", F.lit(0).cast("long"))
     keys = list(group)
     rows = materialize(df, "file-records")
-    if rows.count() <= direct_rows:
-        return _ordered_pass(rows, keys, list(order), n_bytes, max_bytes)
-    placed = running_totals(rows, keys, list(order), {"_at": F.col(n_bytes)}, chunk).withColumn(
+    placed = running_totals(rows, keys, list(order), {"_at": F.coalesce(F.col(n_bytes), F.lit(0))}, chunk).withColumn(
         "_slot", _slot(F.col("_at"), max_bytes)
     )
     placed = materialize(placed, "file-positions")
     starts = _file_starts(placed.select(*keys, "_at", "_slot").distinct(), keys, max_bytes)
     # At most one file starts per slot: count the starts of earlier slots, then
     # compare with the one in the record's own slot.
-    slots = placed.select(*keys, "_slot").distinct().join(
-        starts.select(*keys, "_slot", F.col("_at").alias("_start")), [*keys, "_slot"], "left"
-    )
+    opened = starts.select(*keys, "_slot", F.col("_at").alias("_start"))
+    slots = join_groups(placed.select(*keys, "_slot").distinct(), opened, [*keys, "_slot"], "left")
     before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     slots = slots.withColumn("_opened", F.coalesce(F.count("_start").over(before), F.lit(0)))
     own = F.coalesce((F.col("_at") >= F.col("_start")).cast("int"), F.lit(0))
-    return placed.join(slots, [*keys, "_slot"]).select(*df.columns, (F.col("_opened") + own - 1).alias("file_no"))
-
-
-def _ordered_pass(df: DataFrame, keys: list[str], order: list[str], n_bytes: str, max_bytes: int) -> DataFrame:
-    def assign(batches):
-        group, used, file_no = None, 0, 0
-        for batch in batches:
-            sizes = batch.column(n_bytes).to_pylist()
-            assigned = []
-            for key, size in zip(zip(*[batch.column(k).to_pylist() for k in keys]), sizes):
-                if key != group:
-                    group, used, file_no = key, 0, 0
-                elif used >= max_bytes:
-                    used, file_no = 0, file_no + 1
-                used += size
-                assigned.append(file_no)
-            columns = [*batch.columns, pa.array(assigned, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "file_no"])
-
-    shape = T.StructType(df.schema.fields + [T.StructField("file_no", T.LongType())])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(assign, shape)
+    return join_groups(placed, slots, [*keys, "_slot"]).select(*df.columns, (F.col("_opened") + own - 1).alias("file_no"))
 
 
 def _slot(at: Column, max_bytes: int) -> Column:
@@ -125,7 +98,7 @@ def _next_starts(points: DataFrame, keys: list[str], max_bytes: int) -> DataFram
         "_slot",
         F.when(one > F.col("_slot") + 1, F.lead("_first", 1).over(by_slot)).otherwise(two).alias("_beyond"),
     )
-    seeks = points.join(slots, [*keys, "_slot"]).select(
+    seeks = join_groups(points, slots, [*keys, "_slot"]).select(
         *keys,
         (F.col("_slot") + 1).alias("_slot"),
         (F.col("_at") + max_bytes).alias("_want"),
@@ -177,14 +150,14 @@ def _file_starts(points: DataFrame, keys: list[str], max_bytes: int) -> DataFram
         stays = block(F.col("nxt"), level) == block(F.col("_at"), level)
         below.append(table)
         table = materialize(
-            entries.join(table, [*keys, "_at"])
-            .join(second, [*keys, "nxt"], "left")
-            .select(*keys, "_at", F.when(stays, F.col("_then")).otherwise(F.col("nxt")).alias("nxt")),
+            join_groups(join_groups(entries, table, [*keys, "_at"]), second, [*keys, "nxt"], "left").select(
+                *keys, "_at", F.when(stays, F.col("_then")).otherwise(F.col("nxt")).alias("nxt")
+            ),
             "file-jumps",
         )
     starts = table.filter("_at = 0").select(*keys, "_at")
     for table in reversed(below):
         starts = materialize(starts, "file-starts")
-        onward = starts.join(table, [*keys, "_at"]).filter("nxt is not null")
+        onward = join_groups(starts, table, [*keys, "_at"]).filter("nxt is not null")
         starts = starts.unionByName(onward.select(*keys, F.col("nxt").alias("_at"))).distinct()
     return starts.withColumn("_slot", _slot(F.col("_at"), max_bytes))

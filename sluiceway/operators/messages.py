@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.keys import fresh_id
-from sluiceway.operators.admission import is_handled, with_client_addr
+from sluiceway.operators.admission import REQUEST_POSITION, is_handled, with_client_addr
 from sluiceway.schemas import CREATE_UPDATE, DELETE, MESSAGES
 
 OBSOLETE = "x-obsolete-document"
@@ -32,10 +32,10 @@ def to_messages(classified: DataFrame, stable_ids: bool = True, keep_rejected: b
     delete. One scan: each request is expanded in place.
 
     ``keep_rejected`` also lets each rejected request through as one row
-    without id and payload, its reason in an extra column ``rejected``, so that
-    one pass can serve the quarantine too.
+    without operation, with the id and body it brought and its reason in an
+    extra column ``reason``, so that one pass can serve the quarantine too.
     """
-    own_id = F.coalesce(F.col("id"), fresh_id(F.col("seq"), stable_ids))
+    own_id = F.coalesce(F.col("id"), fresh_id(*map(F.col, REQUEST_POSITION), stable=stable_ids))
     is_delete = F.col("method") == "DELETE"
 
     def item(doc: Column, operation: Column, payload: Column) -> Column:
@@ -59,10 +59,11 @@ def to_messages(classified: DataFrame, stable_ids: bool = True, keep_rejected: b
     extra = []
     if keep_rejected:
         no_text = F.lit(None).cast("string")
-        named = F.when(F.col("reason").isNotNull(), F.array(item(no_text, no_text, no_payload))).otherwise(named)
+        as_sent = F.array(item(F.col("id"), no_text, F.col("body")))
+        named = F.when(F.col("reason").isNotNull(), as_sent).otherwise(named)
         admitted = admitted | F.col("reason").isNotNull()
-        extra = [F.col("reason").alias("rejected")]
-    names = [*MESSAGES.names, *[c for c in ("rejected",) if keep_rejected]]
+        extra = [F.col("reason")]
+    names = [*MESSAGES.names, *[c for c in ("reason",) if keep_rejected]]
     return with_client_addr(classified.filter(admitted)).select(
         *extra,
         "seq",

@@ -32,10 +32,11 @@ def request_metrics(classified: DataFrame) -> DataFrame:
 def response_counts(classified: DataFrame) -> DataFrame:
     """Responses per namespace and code, and per code overall (``is_total``).
 
-    Only the submission step knows the namespace; earlier rejections count in
+    Requests for the root are answered without being counted. Only the submission step knows the namespace; earlier rejections count in
     the totals alone.
     """
-    base = classified.groupBy(F.when(is_handled(), F.col("namespace")).alias("namespace"), "outcome").agg(
+    counted = classified.filter(~((F.col("outcome") == 200) & F.col("uri").isin("/", "")))
+    base = counted.groupBy(F.when(is_handled(), F.col("namespace")).alias("namespace"), "outcome").agg(
         F.count(F.lit(1)).alias("n")
     )
     sets = [[F.col("namespace"), F.col("outcome")], [F.col("outcome")]]
@@ -76,36 +77,28 @@ def frequency(df: DataFrame, code: str) -> DataFrame:
     return df.groupBy(F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latency_report(df: DataFrame, value: str, inline_values: int = 1_000_000) -> DataFrame:
+def latency_report(df: DataFrame, value: str) -> DataFrame:
     """One row: n, min, mean, max, population stddev and exact interpolated quantiles.
 
-    The built-in exact percentile keeps every distinct value in one buffer, so
-    it is used only up to ``inline_values`` distinct values.
+    A quantile is the value at its rank, found by ``order_statistics``, or lies
+    between the two values around it. Runs jobs while the plan is built.
     """
     x = F.col(value).cast("double")
-    stats = [
-        F.count(x).alias("n"),
-        F.min(x).alias("min"),
-        F.avg(x).alias("mean"),
-        F.max(x).alias("max"),
-        F.stddev_pop(x).alias("stddev"),
-    ]
-    names = [f"p{round(q * 100)}" for q in QUANTILES]
-    size, n = df.agg(F.approx_count_distinct(x), F.count(x)).first()
-    if size <= inline_values:
-        exact = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
-        out = df.agg(*stats, exact.alias("_q"))
-        return out.select("*", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(names)]).drop("_q")
-    positions = {c: q * (n - 1) for c, q in zip(names, QUANTILES)}
-    ranked = order_statistics(
-        df.select(x.alias("value")), sorted({int(p) + d for p in positions.values() for d in (0, 1)})
+    stats = df.agg(
+        F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.stddev_pop(x).alias("stddev")
     )
+    n = df.agg(F.count(x)).first()[0]
+    positions = {f"p{round(q * 100)}": q * max(0, n - 1) for q in QUANTILES}
+    wanted = sorted({int(p) + d for p in positions.values() for d in (0, 1)})
+    ranked = order_statistics(df.select(x.alias("value")), wanted)
     at = {r["rank"]: r["value"] for r in ranked.collect()}  # two values per quantile
-    out = df.agg(*stats)
-    for c, p in positions.items():
-        low, high = at[int(p)], at.get(int(p) + 1, at[int(p)])
-        out = out.withColumn(c, F.lit(low + (p - int(p)) * (high - low)))
-    return out
+
+    def between(position: float) -> float | None:
+        low, part = at.get(int(position)), position - int(position)
+        high = at.get(int(position) + 1, low)
+        return low if low == high or not part else low + part * (high - low)
+
+    return stats.select("*", *[F.lit(between(p)).cast("double").alias(c) for c, p in positions.items()])
 
 
 def order_statistics(values: DataFrame, ranks: list[int]) -> DataFrame:

@@ -2,16 +2,20 @@
 
 The setting ``key`` of namespace ``ns`` is looked up under the name
 ``ns + key``: an exact rule wins, then the wildcard rule with the longest
-prefix, then the longest suffix, then the first in text order.
+prefix, then the longest suffix. Prefix and suffix may not overlap. A rule
+without a value means the default.
+
+A wildcard rule is its prefix, ``*`` and its suffix. For the lengths of these
+two that occur among the rules, a name's only candidate is its own start, ``*``
+and its own end, so every candidate is found by equality.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Up to this many rules are compiled into the plan as one expression; a larger
-# table is joined instead.
-INLINE_RULES = 200
+# A policy is configuration: it is read to the driver, and more rules than this are refused.
+MOST_RULES = 100_000
 
 
 def as_flag(value: Column) -> Column:
@@ -19,92 +23,74 @@ def as_flag(value: Column) -> Column:
     return F.lower(value) == "true"
 
 
-def _matches(namespace: Column, prefix: str, suffix: str, key: str) -> Column:
-    """Does ``namespace + key`` start with ``prefix`` and end with ``suffix``, the two not overlapping?"""
-    if suffix == key:
-        return namespace.startswith(prefix)
-    name = F.concat(namespace, F.lit(key))
-    return name.startswith(prefix) & name.endswith(suffix) & (F.length(name) >= len(prefix) + len(suffix))
+def _shapes(rules: list) -> list[tuple[int, int]]:
+    """Lengths of prefix and suffix that occur, the first to be tried first."""
+    return sorted({(len(r.prefix), len(r.suffix)) for r in rules if r.prefix is not None}, key=lambda s: (-s[0], -s[1]))
 
 
-def _inline_value(namespace: Column, rules: list, key: str, default: str) -> Column:
-    exact: dict[str, list[str]] = {}
-    wild = []
-    for r in rules:
-        if r.prefix is None:
-            if r.rule.endswith(key):
-                exact.setdefault(r.value, []).append(r.rule[: len(r.rule) - len(key)])
-        elif key.endswith(r.suffix) or r.suffix.endswith(key):
-            wild.append(r)
-    out = None
-    for value, names in exact.items():
-        hit = namespace.isin(names)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    for r in sorted(wild, key=lambda r: (-len(r.prefix), -len(r.suffix), r.rule)):
-        hit = _matches(namespace, r.prefix, r.suffix, key)
-        out = F.when(hit, r.value) if out is None else out.when(hit, r.value)
-    return F.lit(default) if out is None else out.otherwise(default)
+def _candidate(name: Column, prefix: int, suffix: int) -> Column:
+    """The wildcard rule of that shape which fits ``name``; null where the name is too short."""
+    length = F.length(name)
+    text = F.concat(F.substring(name, 1, prefix), F.lit("*"), F.substring(name, length - suffix + 1, F.lit(suffix)))
+    return F.when(length >= prefix + suffix, text)
+
+
+def _rules(policy: DataFrame) -> list:
+    rules = policy.limit(MOST_RULES + 1).collect()
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"a policy has at most {MOST_RULES} rules")
+    return rules
 
 
 def resolve_policy(namespaces: DataFrame, policy: DataFrame, key: str, default: str) -> DataFrame:
     """One row per distinct ``namespace``: its ``value`` and the ``rule`` it comes from.
 
-    Equality joins only: a wildcard rule meets a name through the prefixes of
-    that name, none longer than the longest prefix of a rule.
+    A name brings one candidate per shape to an equality join with the rules.
+    Runs a job while the plan is built: the shapes of the rules are collected.
     """
     names = namespaces.select("namespace").filter("namespace is not null").distinct()
-    names = names.withColumn("name", F.concat("namespace", F.lit(key)))
-    exact = policy.filter("prefix is null").select(F.col("rule").alias("name"), F.struct("rule", "value").alias("exact"))
-    wild = policy.filter("prefix is not null")
-    longest = wild.agg(F.max(F.length("prefix"))).first()[0] or 0
-    cuts = F.sequence(F.lit(0), F.least(F.length("name"), F.lit(longest)))
-    candidates = names.select("namespace", "name", F.explode(cuts).alias("cut")).select(
-        "namespace", "name", F.substring(F.col("name"), F.lit(1), F.col("cut")).alias("prefix")
-    )
-    matched = (
-        candidates.join(wild, "prefix")
-        .filter(
-            F.col("name").endswith(F.col("suffix"))
-            & (F.length("name") >= F.length("prefix") + F.length("suffix"))
-        )
-        .groupBy("namespace")
-        .agg(
-            F.min_by(
-                F.struct("rule", "value"), F.struct(-F.length("prefix"), -F.length("suffix"), F.col("rule"))
-            ).alias("wild")
-        )
-    )
-    best = F.coalesce("exact", "wild")
-    return (
-        names.join(exact, "name", "left")
-        .join(matched, "namespace", "left")
-        .select(
-            "namespace",
-            F.lit(key).alias("setting"),
-            F.coalesce(best["value"], F.lit(default)).alias("value"),
-            best["rule"].alias("rule"),
-        )
+    name = F.concat("namespace", F.lit(key))
+    shapes = _shapes(policy.filter("prefix is not null").select("prefix", "suffix").distinct().limit(MOST_RULES).collect())
+    tried = F.array(name, *[_candidate(name, p, s) for p, s in shapes])
+    candidates = names.select("namespace", F.posexplode(tried).alias("rank", "rule"))
+    # An exact rule has no prefix, so a name that holds a star meets no wildcard rule by its own text.
+    known = policy.select("rule", "value", F.col("prefix").isNull().alias("exact"))
+    found = candidates.join(known, "rule").filter((F.col("rank") == 0) == F.col("exact"))
+    best = found.groupBy("namespace").agg(F.min_by(F.struct("rule", "value"), "rank").alias("best"))
+    return names.join(best, "namespace", "left").select(
+        "namespace",
+        F.lit(key).alias("setting"),
+        F.coalesce("best.value", F.lit(default)).alias("value"),
+        F.col("best.rule").alias("rule"),
     )
 
 
-def attach_settings(
-    df: DataFrame, policy: DataFrame, settings: dict[str, tuple[str, str]], inline_rules: int = INLINE_RULES
-) -> DataFrame:
+def setting_flag(namespace: Column, rules: list, key: str, default: str) -> Column:
+    """The flag ``key`` of a namespace: set lookups of its candidates, in order of precedence."""
+    fallback = default.lower() == "true"
+    name = F.concat(namespace, F.lit(key))
+    # The rules of each shape (None: exact) by flag; those that cannot name this setting are left out.
+    by_shape: dict[tuple[int, int] | None, dict[bool, list[str]]] = {}
+    for r in rules:
+        fits = r.rule.endswith(key) if r.prefix is None else key.endswith(r.suffix) or r.suffix.endswith(key)
+        if fits:
+            shape = None if r.prefix is None else (len(r.prefix), len(r.suffix))
+            flag = fallback if r.value is None else r.value.lower() == "true"
+            by_shape.setdefault(shape, {}).setdefault(flag, []).append(r.rule)
+    out = F.when(namespace.isNull(), fallback)
+    for shape in sorted(by_shape, key=lambda s: (0, 0, 0) if s is None else (1, -s[0], -s[1])):
+        candidate = name if shape is None else _candidate(name, *shape)
+        for flag, texts in by_shape[shape].items():
+            out = out.when(candidate.isin(texts), flag)
+    return out.otherwise(fallback)
+
+
+def attach_settings(df: DataFrame, policy: DataFrame, settings: dict[str, tuple[str, str]]) -> DataFrame:
     """Add one boolean column per ``{column: (key, default)}``, resolved by ``namespace``.
 
-    A policy of at most ``inline_rules`` rules becomes a CASE expression: no
-    join and no shuffle, batch or stream. A larger one is resolved once per
-    distinct namespace and joined back (batch only).
+    One expression for a policy of any size, on a table or a stream: no join
+    and no shuffle. Runs a job while the plan is built: the rules are collected.
     """
-    rules = policy.limit(inline_rules + 1).collect()
-    if len(rules) <= inline_rules:
-        return df.withColumns(
-            {
-                col: as_flag(_inline_value(F.col("namespace"), rules, key, default))
-                for col, (key, default) in settings.items()
-            }
-        )
-    for col, (key, default) in settings.items():
-        found = resolve_policy(df, policy, key, default).select("namespace", as_flag(F.col("value")).alias(col))
-        df = df.join(found, "namespace", "left").withColumn(col, F.coalesce(col, as_flag(F.lit(default))))
-    return df
+    rules = _rules(policy)
+    flags = {col: setting_flag(F.col("namespace"), rules, key, default) for col, (key, default) in settings.items()}
+    return df.withColumns(flags)

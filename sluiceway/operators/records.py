@@ -18,13 +18,14 @@ def record_sizes(df: DataFrame, key: str = "key", value: str = "value", with_val
 def with_ingest_ts(df: DataFrame, field: str = "ingest_ts", payload: str = "payload") -> DataFrame:
     """Set ``field`` of each JSON payload to the message time.
 
-    A payload that is no JSON object becomes null with reason ``not_an_object``.
+    A payload that is no JSON object becomes null with reason ``not_an_object``;
+    an earlier reason stays.
     """
     merged = merge_timestamp(F.col(payload), F.col("ts_ms"), field)
     out = df.withColumn("_merged", F.encode(merged, "UTF-8"))
-    return out.withColumn(
-        "reason", F.when(F.col("_merged").isNull() & F.col(payload).isNotNull(), "not_an_object")
-    ).withColumn(payload, F.col("_merged")).drop("_merged")
+    found = F.when(F.col("_merged").isNull() & F.col(payload).isNotNull(), "not_an_object")
+    before = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
+    return out.withColumn("reason", F.coalesce(before, found)).withColumn(payload, F.col("_merged")).drop("_merged")
 
 
 def dedupe_redelivered(df: DataFrame, delay: str | None = None, ts: str = "ts") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluiceway.functions.keys import stable_uuid
+from sluiceway.functions.keys import at_position, stable_uuid
 
 # Fixed value: stands for the key in a destination pattern.
 KEY_PLACEHOLDER = "%k"
@@ -33,7 +33,8 @@ def replay_url(pattern: str, key: Column) -> Column:
 
 def replay_key(copy_keys: bool, stable: bool = True) -> Column:
     """Key used at the destination: the source key, or a new one; deletes keep theirs."""
-    new = stable_uuid(F.lit("replay"), F.col("seq").cast("string"), F.col("ord").cast("string")) if stable else F.uuid()
+    position = at_position(*map(F.col, ("namespace", "shard", "seq", "ord")))
+    new = stable_uuid(F.lit("replay"), *position) if stable else F.uuid()
     return F.col("id") if copy_keys else F.when(F.col("action") == "delete", F.col("id")).otherwise(new)
 
 

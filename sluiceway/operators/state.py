@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.functions.keys import salted_key
+from sluiceway.operators.pin import pin
 
 # Fixed value: seven days. A delete at time D hides every write up to D + horizon.
 HORIZON_MS = 604_800_000
 
 KEY = ["namespace", "id"]
+# Which of two writes is the later one; rows without a time come first.
+ORDER = ["ts_ms", "seq", "ord", "shard"]
 
 
 def latest_by_key(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """The row with the greatest (ts_ms, seq, ord) of each key; combined before the shuffle."""
+    """The row that is last in (ts_ms, seq, ord, shard) of each key; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "seq", "ord")).alias("_row"))
+        .agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("_row"))
         .select(*keys, "_row.*")
     )
 
@@ -26,10 +29,11 @@ def partial_state(actions: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Newest put and newest delete per key, from rows with action store or delete.
 
     Partial states of any parts of the input, in any order and also repeated,
-    merge to the state of the whole: see ``merge_states``.
+    merge to the state of the whole: see ``merge_states``. A put without a time
+    ranks below all that have one; a key has a put where ``put_at`` is not null.
     """
     is_put, is_delete = F.col("action") == "store", F.col("action") == "delete"
-    put = F.struct("ts_ms", "seq", "ord")
+    put = F.struct(*ORDER)
     return actions.filter(is_put | is_delete).groupBy(*keys).agg(
         F.max(F.when(is_put, put)).alias("put_at"),
         F.max_by("payload", F.when(is_put, put)).alias("payload"),
@@ -45,17 +49,34 @@ def merge_states(states: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
-def is_alive(put_ms: Column, del_ms: Column, horizon_ms: int = HORIZON_MS) -> Column:
-    return put_ms.isNotNull() & (del_ms.isNull() | (put_ms > del_ms + horizon_ms))
+def is_alive(put_at: Column, del_ms: Column, horizon_ms: int = HORIZON_MS) -> Column:
+    """Is there a put that no delete hides? A put without a time is hidden by any delete."""
+    after = F.coalesce(put_at["ts_ms"] > del_ms + horizon_ms, F.lit(False))
+    return put_at.isNotNull() & (del_ms.isNull() | after)
 
 
 def live_rows(states: DataFrame, horizon_ms: int = HORIZON_MS, keys: list[str] = KEY) -> DataFrame:
     """The visible rows of a (partial) state."""
-    return states.filter(is_alive(F.col("put_at.ts_ms"), F.col("del_ms"), horizon_ms)).select(
+    return states.filter(is_alive(F.col("put_at"), F.col("del_ms"), horizon_ms)).select(
         *keys, F.col("put_at.ts_ms").alias("ts_ms"), F.col("put_at.seq").alias("seq"), "payload"
     )
 
 
+def with_row_keys(actions: DataFrame) -> DataFrame:
+    """Add ``row_key`` and refuse stores that allow none: action invalid, reason ``unsaltable``.
+
+    A store without a time keeps its raw id as key.
+    """
+    salted = F.coalesce(salted_key(F.col("id"), F.col("ts_ms")), F.when(F.col("ts_ms").isNull(), F.encode("id", "UTF-8")))
+    keyed = actions.withColumn("row_key", F.when(F.col("action") == "store", salted))
+    lost = (F.col("action") == "store") & F.col("row_key").isNull()
+    reason = F.col("reason") if "reason" in actions.columns else F.lit(None).cast("string")
+    return pin(
+        keyed,
+        {"action": F.when(lost, "invalid").otherwise(F.col("action")), "reason": F.when(lost, "unsaltable").otherwise(reason)},
+    )
+
+
 def keyed_state(
     actions: DataFrame,
     horizon_ms: int = HORIZON_MS,
@@ -66,27 +87,23 @@ def keyed_state(
 
     key_mode="salted" keys puts by salted row key, one row per id and day,
     while deletes still name the bare id and so miss those rows;
-    ``fix_deletes`` applies them to every row of the id. ``horizon_ms=0`` is
-    plain last-writer-wins in which a delete wins a tie.
+    ``fix_deletes`` applies them to every row of the id, a row a day. Stores that
+    ``with_row_keys`` refuses are not in the table: send them to quarantine.
+    ``horizon_ms=0`` is plain last-writer-wins in which a delete wins a tie.
     """
     if key_mode == "plain":
         return live_rows(partial_state(actions), horizon_ms)
     if key_mode != "salted":
         raise ValueError(f"unknown key mode {key_mode!r}")
-    puts = actions.filter("action = 'store'").withColumn("row_key", salted_key(F.col("id"), F.col("ts_ms")))
-    # Ids that allow no salted key go to quarantine (``unsaltable``).
-    puts = puts.filter("row_key is not null")
+    keyed = with_row_keys(actions)
     keys = ["namespace", "id", "row_key"]
-    state = partial_state(puts, keys)
     if not fix_deletes:
-        return live_rows(state, horizon_ms, keys)
-    return live_rows(state.drop("del_ms").join(_last_delete(actions), KEY, "left"), horizon_ms, keys)
-
-
-def unsaltable(actions: DataFrame) -> DataFrame:
-    """Stores whose id allows no salted key."""
-    key = salted_key(F.col("id"), F.col("ts_ms"))
-    return actions.filter((F.col("action") == "store") & key.isNull())
+        return live_rows(partial_state(keyed.filter("action = 'store'"), keys), horizon_ms, keys)
+    # One pass: states per row key, deletes under the null row key, gathered by id.
+    states = partial_state(keyed, keys)
+    rows = F.collect_list(F.when(F.col("put_at").isNotNull(), F.struct("row_key", "put_at", "payload")))
+    per_id = states.groupBy(*KEY).agg(rows.alias("rows"), F.max("del_ms").alias("del_ms"))
+    return live_rows(per_id.select(*KEY, "del_ms", F.inline("rows")), horizon_ms, keys)
 
 
 def _last_delete(actions: DataFrame) -> DataFrame:
@@ -101,6 +118,6 @@ def drop_deleted(actions: DataFrame, horizon_ms: int = HORIZON_MS) -> DataFrame:
     """
     puts = actions.filter("action = 'store'")
     tombs = _last_delete(actions).select(*[F.col(k).alias(f"_{k}") for k in KEY], "del_ms")
-    hides = (puts["ts_ms"] <= tombs["del_ms"] + horizon_ms)
+    hides = puts["ts_ms"].isNull() | (puts["ts_ms"] <= tombs["del_ms"] + horizon_ms)
     same = [puts[k] == tombs[f"_{k}"] for k in KEY]
     return puts.join(tombs, [*same, hides], "left_anti")

@@ -35,19 +35,22 @@ def gate_operations(df: DataFrame, validators: list[Validator] | None = None) ->
     """Add ``action``: store, delete, invalid (payload rejected) or ignored.
 
     An upsert needs an id and a payload, a delete an id. Payloads are
-    validated only where the action is a store.
+    validated only where the action is a store. A row that brings a ``reason``
+    was refused before: it keeps the reason and is invalid.
     """
+    before = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
     operation = F.coalesce(F.col("operation"), F.lit(CREATE_UPDATE))
-    is_store = (operation == CREATE_UPDATE) & F.col("id").isNotNull() & F.col("payload").isNotNull()
+    is_store = before.isNull() & (operation == CREATE_UPDATE) & F.col("id").isNotNull() & F.col("payload").isNotNull()
     checked = validate(
         df.withColumn("_candidate", F.when(is_store, F.col("payload"))), validators, payload="_candidate"
     )
     action = (
-        F.when(is_store, F.when(F.col("valid"), "store").otherwise("invalid"))
+        F.when(before.isNotNull(), "invalid")
+        .when(is_store, F.when(F.col("valid"), "store").otherwise("invalid"))
         .when((operation == DELETE) & F.col("id").isNotNull(), "delete")
         .otherwise("ignored")
     )
-    reason = F.when(is_store & ~F.col("valid"), F.col("first_failed"))
+    reason = F.coalesce(before, F.when(is_store & ~F.col("valid"), F.col("first_failed")))
     return pin(checked, {"action": action, "reason": reason}).drop("_candidate", "valid", "first_failed")
 
 

@@ -28,16 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, over at least as many tasks as there are cores.
-
-    A small table is one split, and what follows is heavy on the processor. A
-    table of enough splits is read as it is, without a shuffle.
-    """
-    df = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _doc_id(number: Column) -> Column:
@@ -45,7 +36,7 @@ def _doc_id(number: Column) -> Column:
 
 
 def requests_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per event, headers as columns."""
+    """One request per event, headers as columns. ``seq`` counts within a shard."""
     e = F.col("event_id")
     named = events(spark, sf_dir).withColumns(
         {
@@ -60,7 +51,7 @@ def requests_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return named.selectExpr(
-        "event_id AS seq",
+        "event_id div 8 AS seq",
         "event_id % 8 AS shard",
         "unix_millis(ts) AS recv_ms",
         """CASE WHEN event_id % 11 = 0 THEN 'DELETE' WHEN event_id % 29 = 0 THEN 'GET'

@@ -20,7 +20,7 @@ _TABLES = {
         WHEN 'view' THEN 'testpilot_'||CAST(event_id % 3 AS STRING)
         WHEN 'purchase' THEN 'marketplace_apps' WHEN 'signup' THEN 'metrics' ELSE 'bogus' END AS ns
     FROM e)
-  SELECT event_id AS seq, event_id % 8 AS shard, ms AS recv_ms,
+  SELECT event_id // 8 AS seq, event_id % 8 AS shard, ms AS recv_ms,
     CASE WHEN event_id % 11 = 0 THEN 'DELETE' WHEN event_id % 29 = 0 THEN 'GET'
          WHEN event_id % 43 = 0 THEN 'OPTIONS' WHEN event_id % 31 = 0 THEN 'PUT' ELSE 'POST' END AS method,
     CASE WHEN event_id % 101 = 0 THEN '/' ELSE
@@ -80,12 +80,12 @@ _TABLES = {
     printf('%02X%02X%02X%02X', CAST(split_part(addr, '.', 1) AS INT), CAST(split_part(addr, '.', 2) AS INT),
            CAST(split_part(addr, '.', 3) AS INT), CAST(split_part(addr, '.', 4) AS INT)) AS ip_hex,
     coalesce(id, substr(g,1,8)||'-'||substr(g,9,4)||'-'||substr(g,13,4)||'-'||substr(g,17,4)||'-'||substr(g,21,12)) AS id
-  FROM (SELECT *, md5('id:'||CAST(seq AS STRING)) AS g FROM classified)
+  FROM (SELECT *, md5('id:'||coalesce(namespace, '')||':'||CAST(shard AS STRING)||':'||CAST(seq AS STRING)) AS g FROM classified)
   WHERE why IN ('created', 'deleted')""",
     "obsolete": """
   SELECT * EXCLUDE (raw), trim(raw) AS doc
-  FROM (SELECT seq, unnest(ids) AS raw, CAST(generate_subscripts(ids, 1) AS INT) AS ord
-        FROM (SELECT seq, CASE WHEN h <> '' AND rtrim(h, ',') = '' THEN [] ELSE string_split(rtrim(h, ','), ',') END AS ids
+  FROM (SELECT seq, shard, unnest(ids) AS raw, CAST(generate_subscripts(ids, 1) AS INT) AS ord
+        FROM (SELECT seq, shard, CASE WHEN h <> '' AND rtrim(h, ',') = '' THEN [] ELSE string_split(rtrim(h, ','), ',') END AS ids
               FROM admitted WHERE h IS NOT NULL AND method <> 'DELETE'))""",
     "messages": """
   SELECT seq, shard, 0 AS ord, namespace, id, ip_hex, CASE WHEN method <> 'DELETE' THEN body END AS payload, ts_ms,
@@ -93,13 +93,13 @@ _TABLES = {
   FROM admitted
   UNION ALL
   SELECT seq, shard, ord, namespace, doc, ip_hex, NULL, ts_ms, 'DELETE', api_version, partition
-  FROM admitted JOIN obsolete USING (seq)""",
+  FROM admitted JOIN obsolete USING (seq, shard)""",
     "gated": """
   SELECT *, CASE WHEN operation = 'DELETE' THEN 'delete' WHEN json_valid(payload) THEN 'store' ELSE 'invalid' END AS action
   FROM messages""",
     "puts": """
   SELECT *, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS ds,
-         row_number() OVER (PARTITION BY namespace, id ORDER BY ts_ms DESC, seq DESC, ord DESC) AS newest
+         row_number() OVER (PARTITION BY namespace, id ORDER BY ts_ms DESC, seq DESC, ord DESC, shard DESC) AS newest
   FROM gated WHERE action = 'store'""",
     "tombs": """
   SELECT namespace, id, max(ts_ms) AS del_ms FROM gated WHERE action = 'delete' GROUP BY ALL""",
@@ -112,7 +112,7 @@ _TABLES = {
          || hex(strftime(make_timestamp(ts_ms * 1000), '%Y%m%d')||id) AS row_key
   FROM puts""",
     "newest_salted": """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY namespace, row_key ORDER BY ts_ms DESC, seq DESC, ord DESC) AS r
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY namespace, row_key ORDER BY ts_ms DESC, seq DESC, ord DESC, shard DESC) AS r
                  FROM salted) WHERE r = 1""",
 }
 
@@ -135,12 +135,17 @@ _RULES = """(VALUES ('metrics.allow.delete.access', 'true'), ('marketplace_*.id.
   ('*_apps.id.validation', 'true'), ('tele*.allow.delete.access', 'True')) AS r(rule, value)"""
 _TURN = "CAST(conv_id AS STRING)||'-'||CAST(turn AS STRING) AS key"
 _HANDLED = "why IN ('created', 'deleted', 'empty_body')"
-_NEW_ID = "md5('replay:'||CAST(seq AS STRING)||':'||CAST(ord AS STRING))"
+_NEW_ID = "md5('replay:'||namespace||':'||CAST(shard AS STRING)||':'||CAST(seq AS STRING)||':'||CAST(ord AS STRING))"
 _SHARE = "CAST('0x'||substr(md5(id), 1, 8) AS BIGINT) / 4294967296::DOUBLE"
 _SALT = "printf('%02{x}', (CAST('0x'||substr(id, 1, 2) AS INT) + 128) % 256)"
 _DAY8 = "strftime(make_timestamp(ts_ms * 1000), '%Y%m%d')"
+_ID_OK = """(starts_with(namespace, 'marketplace_') OR id IS NULL
+  OR regexp_full_match(id, '[0-9a-fA-F]{1,8}(-[0-9a-fA-F]{1,4}){3}-[0-9a-fA-F]{1,12}'))"""
 _HAS_SALT = "regexp_matches(id, '^([0-9a-fA-F]{2}|[0-9a-fA-F]$)')"
 
+_ODD = """odd AS (SELECT * REPLACE (CASE WHEN seq % 31 = 0 THEN 'zz'||seq ELSE id END AS id,
+  CASE WHEN seq % 7 <> 0 THEN ts_ms END AS ts_ms) FROM gated)"""
+
 ORACLES: dict[str, str] = {
     "source_topic_pattern": _sql("messages", """
 SELECT namespace AS topic, count(*) AS n, min(seq) AS min_seq, max(seq) AS max_seq FROM messages
@@ -171,7 +176,7 @@ SELECT seq, api_version, endpoint, namespace, id, array_to_string(partition, '|'
     "assigned_ids": _sql("parsed", """
 SELECT seq, id IS NOT NULL AS given,
   coalesce(id, substr(g,1,8)||'-'||substr(g,9,4)||'-'||substr(g,13,4)||'-'||substr(g,17,4)||'-'||substr(g,21,12)) AS id
-FROM (SELECT *, md5('id:'||CAST(seq AS STRING)) AS g FROM parsed)"""),
+FROM (SELECT *, md5('id:'||coalesce(namespace, '')||':'||CAST(shard AS STRING)||':'||CAST(seq AS STRING)) AS g FROM parsed)"""),
     "client_addr": _sql("addressed", "SELECT seq, addr FROM addressed"),
     "client_addr_bytes": _sql("addressed", """
 SELECT seq, printf('%02X%02X%02X%02X', CAST(split_part(addr, '.', 1) AS INT), CAST(split_part(addr, '.', 2) AS INT),
@@ -215,13 +220,13 @@ SELECT seq, id, regexp_full_match(id, '[0-9a-fA-F]{1,8}(-[0-9a-fA-F]{1,4}){3}-[0
   regexp_full_match(id, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') AS strict
 FROM (SELECT seq, CASE seq % 5 WHEN 0 THEN upper(id) WHEN 1 THEN id||'0' WHEN 2 THEN seq||'-2-3-4-5'
         WHEN 3 THEN replace(id, '-', '') ELSE id END AS id FROM parsed) WHERE id IS NOT NULL"""),
-    "id_policy": _sql("parsed", """
-SELECT namespace, NOT starts_with(namespace, 'marketplace_') AS check_id, starts_with(namespace, 'marketplace_') OR id IS NULL
-  OR regexp_full_match(id, '[0-9a-fA-F]{1,8}(-[0-9a-fA-F]{1,4}){3}-[0-9a-fA-F]{1,12}') AS id_ok, count(*) AS n
-FROM parsed WHERE namespace IS NOT NULL GROUP BY ALL"""),
-    "method_acl": _sql("parsed", """
+    "id_policy": _sql("parsed", f"""
+SELECT namespace, {_ID_OK} AS id_ok, count(*) AS n FROM parsed WHERE namespace IS NOT NULL GROUP BY ALL"""),
+    "method_acl": _sql("parsed", f"""
 SELECT namespace, method, method IN ('POST', 'PUT') OR (method = 'DELETE' AND namespace = 'metrics') AS allowed, count(*) AS n
-FROM parsed WHERE namespace IS NOT NULL GROUP BY ALL"""),
+FROM parsed WHERE namespace IS NOT NULL AND {_ID_OK} GROUP BY ALL"""),
+    "user_agents": _sql("req", """
+SELECT CASE WHEN seq % 5 <> 0 THEN 'client/'||(seq % 7) END AS user_agent, count(*) AS n FROM req GROUP BY ALL"""),
     "request_outcomes": _sql("classified", """
 SELECT namespace, outcome, reason, count(*) AS n FROM classified GROUP BY ALL"""),
     "json_validation": _sql("req", """
@@ -264,7 +269,7 @@ SELECT namespace, method, CAST(grouping(namespace, method) AS INT) AS level, cou
 FROM classified WHERE {_HANDLED} GROUP BY GROUPING SETS ((namespace, method), (namespace), (method), ())"""),
     "response_counts": _sql("classified", f"""
 SELECT namespace, outcome, false AS is_total, count(*) AS n FROM classified WHERE {_HANDLED} GROUP BY ALL
-UNION ALL SELECT NULL, outcome, true, count(*) FROM classified GROUP BY ALL"""),
+UNION ALL SELECT NULL, outcome, true, count(*) FROM classified WHERE why <> 'root' GROUP BY ALL"""),
     "consumer_metrics": _sql("gated", """
 SELECT namespace AS topic, count(*) AS consumed, count(*) FILTER (WHERE action = 'invalid') AS invalid FROM gated GROUP BY ALL"""),
     "sink_metrics": _sql("gated", """
@@ -284,6 +289,11 @@ FROM (SELECT namespace, ts_ms - ts_ms % 60000 AS bucket_ms, count(*) AS n, CAST(
     "flush_batches": _sql("messages", """
 SELECT namespace, shard, seq, ord, CAST((row_number() OVER (PARTITION BY namespace, shard ORDER BY seq, ord) - 1) // 10 AS BIGINT) AS batch
 FROM messages"""),
+    "flush_batches_null_groups": _sql("messages", """
+SELECT namespace, shard, seq, ord, "from",
+  CAST((row_number() OVER (PARTITION BY namespace, shard ORDER BY seq, "from", ord) - 1) // 10 AS BIGINT) AS batch
+FROM (SELECT CASE WHEN seq % 5 <> 0 THEN namespace END AS namespace, CASE WHEN seq % 3 <> 0 THEN shard END AS shard,
+        seq, ord, shard AS "from" FROM messages)"""),
     "file_roll_plan": _sql("puts", """
 SELECT namespace, ds, shard, file_no, count(*) AS n, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, min(seq) AS first_seq
 FROM placed GROUP BY ALL""", """
@@ -301,11 +311,24 @@ SELECT shard, seq, n_bytes, batch, max(n_bytes) OVER (PARTITION BY shard, batch)
 FROM (SELECT shard, seq, CAST(strlen(body) AS INT) AS n_bytes,
         CAST((row_number() OVER (PARTITION BY shard ORDER BY seq) - 1) // 10 AS BIGINT) AS batch FROM req)"""),
     "latest_by_key": _sql("messages", """
-SELECT namespace, id, ts_ms, seq, ord, operation, payload FROM messages
-QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY ts_ms DESC, seq DESC, ord DESC) = 1"""),
+SELECT namespace, id, ts_ms, seq, ord, shard, operation, payload FROM messages
+QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY ts_ms DESC, seq DESC, ord DESC, shard DESC) = 1"""),
     "keyed_state": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
     "keyed_state_stream": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
     "keyed_state_stream_expiring": _sql("alive", "SELECT namespace, id, ts_ms, seq, payload FROM alive"),
+    "keyed_state_untimed": _sql("gated", """
+SELECT namespace, id, ts_ms, seq, payload FROM oddest LEFT JOIN gone USING (namespace, id)
+WHERE deletes IS NULL OR ts_ms > del_ms + 604800000 OR (del_ms IS NULL AND ts_ms IS NOT NULL AND deletes = 0)""", _ODD + """,
+oddest AS (SELECT * FROM odd WHERE action = 'store' QUALIFY row_number() OVER (PARTITION BY namespace, id
+  ORDER BY ts_ms DESC NULLS LAST, seq DESC, ord DESC, shard DESC) = 1),
+gone AS (SELECT namespace, id, max(ts_ms) AS del_ms, count(ts_ms) AS deletes FROM odd WHERE action = 'delete' GROUP BY ALL HAVING count(ts_ms) > 0)"""),
+    "salted_refusals": _sql("gated", f"""
+SELECT CASE WHEN lost THEN 'invalid' ELSE action END AS action,
+  CASE WHEN lost THEN 'unsaltable' WHEN action = 'invalid' THEN 'json' END AS reason, count(*) AS n,
+  count(key_size) AS keyed, CAST(sum(key_size) AS BIGINT) AS key_bytes
+FROM (SELECT *, action = 'store' AND ts_ms IS NOT NULL AND NOT ({_HAS_SALT}) AS lost,
+    CASE WHEN action = 'store' THEN CASE WHEN ts_ms IS NULL THEN strlen(id) WHEN {_HAS_SALT} THEN 9 + strlen(id) END END AS key_size FROM odd)
+GROUP BY ALL""", _ODD),
     "keyed_state_salted": _sql("newest_salted", "SELECT namespace, id, row_key, ts_ms, seq FROM newest_salted"),
     "keyed_state_salted_fixed": _sql("newest_salted", """
 SELECT namespace, id, row_key, ts_ms, seq FROM newest_salted LEFT JOIN tombs USING (namespace, id)
@@ -332,4 +355,17 @@ SELECT 'quarantine', why, count(*) FROM (
   SELECT reason AS why FROM classified WHERE reason IS NOT NULL
   UNION ALL SELECT CASE WHEN action = 'invalid' THEN 'json' ELSE 'unroutable' END FROM gated
   WHERE action = 'invalid' OR starts_with(namespace, 'marketplace_')) GROUP BY ALL"""),
+    "consume_e2e": _sql("gated", """
+SELECT 'state' AS sink, namespace AS item, count(*) AS n FROM (
+  SELECT * FROM whole WHERE action = 'store' AND namespace IN ('telemetry', 'metrics') QUALIFY row_number() OVER (PARTITION BY namespace, id
+    ORDER BY ts_ms DESC, seq DESC, ord DESC, shard DESC) = 1) p
+  WHERE NOT EXISTS (SELECT 1 FROM whole d WHERE d.action = 'delete' AND d.namespace = p.namespace AND d.id = p.id
+    AND p.ts_ms <= d.ts_ms + 604800000) GROUP BY ALL
+UNION ALL
+SELECT 'archive', namespace, count(*) FROM whole WHERE action = 'store' AND starts_with(namespace, 'testpilot_') GROUP BY ALL
+UNION ALL
+SELECT 'quarantine', CASE WHEN corrupt THEN 'undecodable' WHEN action = 'invalid' THEN 'json' ELSE 'unroutable' END AS why, count(*)
+FROM marked WHERE corrupt OR action = 'invalid' OR starts_with(namespace, 'marketplace_') GROUP BY ALL""", """
+marked AS (SELECT *, seq % 50 = 0 AND ord = 0 AS corrupt FROM gated),
+whole AS (SELECT * FROM marked WHERE NOT corrupt)"""),
 }

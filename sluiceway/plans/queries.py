@@ -22,7 +22,7 @@ from sluiceway.operators import (
     validation,
 )
 from sluiceway.plans import fixtures as fx
-from sluiceway.session import configure, workspace
+from sluiceway.session import configure, materialize, workspace
 from sluiceway.sinks import archive, batches, log, routing, state_table
 from sluiceway.sources import envelope, kv_archive, messages as log_source, policy_file
 from sluiceway.streaming import ingest, metrics as live, state as live_state
@@ -39,8 +39,12 @@ OVERLAPPING = fx.RULES | {
     "*_apps.id.validation": "true",
     "tele*.allow.delete.access": "True",
 }
-# The test stream arrives out of time order, so nothing in it may count as late.
-NO_LATE_ROWS = "3650 days"
+# Test streams arrive slice by slice of event time, in no order within a slice,
+# so that no row comes later than the length of one.
+SLICE_MS = 6 * 86_400_000
+SLICES = 5
+FIRST_MS = 1_704_067_200_000  # 2024-01-01, where the test events begin
+LATENESS = "6 days"
 
 
 def query(f: Query) -> Query:
@@ -333,23 +337,30 @@ def uuid_validation(spark, sf_dir):
     )
 
 
-def _with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = {"check_id": (admission.ID_VALIDATION, "true"), "may_delete": (admission.ALLOW_DELETE, "false")}
-    parsed = admission.parse_requests(fx.requests(spark, sf_dir)).filter("namespace is not null")
-    return policies.attach_settings(parsed, fx.policy(spark), settings)
+def _any_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests classified with every namespace let in and no body too large."""
+    open_to_all = admission.classify_requests(fx.requests(spark, sf_dir), fx.policy(spark), [".+"])
+    return open_to_all.filter("namespace is not null")
 
 
 @query
 def id_policy(spark, sf_dir):
-    ok = ~F.col("check_id") | F.col("id").isNull() | keys.valid_uuid(F.col("id"))
-    return _with_settings(spark, sf_dir).groupBy("namespace", "check_id", ok.alias("id_ok")).agg(n_rows())
+    ok = ~F.col("reason").eqNullSafe("id")
+    return _any_namespace(spark, sf_dir).groupBy("namespace", ok.alias("id_ok")).agg(n_rows())
 
 
 @query
 def method_acl(spark, sf_dir):
-    method = F.col("method")
-    allowed = method.isin("POST", "PUT") | ((method == "DELETE") & F.col("may_delete"))
-    return _with_settings(spark, sf_dir).groupBy("namespace", "method", allowed.alias("allowed")).agg(n_rows())
+    denied = F.coalesce(F.col("reason").isin("get_denied", "delete_denied", "method_denied"), F.lit(False))
+    known = _any_namespace(spark, sf_dir).filter("reason is distinct from 'id'")
+    return known.groupBy("namespace", "method", (~denied).alias("allowed")).agg(n_rows())
+
+
+@query
+def user_agents(spark, sf_dir):
+    agent = F.create_map(F.lit("user-agent"), F.when(F.col("seq") % 5 != 0, F.array(F.concat(F.lit("client/"), F.col("seq") % 7))))
+    sent = fx.requests(spark, sf_dir).withColumn("headers", F.map_concat("headers", agent))
+    return admission.parse_requests(sent).groupBy("user_agent").agg(n_rows())
 
 
 @query
@@ -483,6 +494,15 @@ def flush_batches(spark, sf_dir):
     return batching.flush_batches(rows, fx.BATCH)
 
 
+@query
+def flush_batches_null_groups(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir).select(
+        F.when(F.col("seq") % 5 != 0, F.col("namespace")).alias("namespace"),
+        F.when(F.col("seq") % 3 != 0, F.col("shard")).alias("shard"), "seq", "ord", F.col("shard").alias("from"),
+    )
+    return batching.flush_batches(rows, fx.BATCH, order=("seq", "from", "ord"))
+
+
 @query
 def file_roll_plan(spark, sf_dir):
     n_bytes = batching.record_bytes(F.col("id"), F.col("payload"))
@@ -507,7 +527,8 @@ def poison_batches(spark, sf_dir):
 
 @query
 def latest_by_key(spark, sf_dir):
-    rows = fx.messages(spark, sf_dir).select("namespace", "id", "ts_ms", "seq", "ord", "operation", text("payload").alias("payload"))
+    columns = ["namespace", "id", "ts_ms", "seq", "ord", "shard", "operation", text("payload").alias("payload")]
+    rows = fx.messages(spark, sf_dir).select(*columns)
     return state.latest_by_key(rows)
 
 
@@ -532,6 +553,26 @@ def keyed_state_salted_fixed(spark, sf_dir):
     return table.select("namespace", "id", F.hex("row_key").alias("row_key"), "ts_ms", "seq")
 
 
+def _odd_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated messages of which some have no time and some an id that allows no salted key."""
+    s = F.col("seq")
+    return gated(spark, sf_dir).withColumns(
+        {"id": F.when(s % 31 == 0, F.concat(F.lit("zz"), s)).otherwise(F.col("id")), "ts_ms": F.when(s % 7 != 0, F.col("ts_ms"))}
+    )
+
+
+@query
+def keyed_state_untimed(spark, sf_dir):
+    return _state_text(state.keyed_state(_odd_stores(spark, sf_dir)))
+
+
+@query
+def salted_refusals(spark, sf_dir):
+    keyed = state.with_row_keys(_odd_stores(spark, sf_dir))
+    size = F.octet_length("row_key")
+    return keyed.groupBy("action", "reason").agg(n_rows(), F.count("row_key").alias("keyed"), F.sum(size).alias("key_bytes"))
+
+
 # --- sinks -----------------------------------------------------------------
 
 
@@ -545,8 +586,9 @@ def archive_by_day(spark, sf_dir):
 
 @query
 def publish_layout(spark, sf_dir):
-    laid_out = log.publish_layout(fx.messages(spark, sf_dir))
-    per_id = laid_out.groupBy("topic", "id").agg(
+    path = workspace(spark, "published")
+    log.publish(fx.messages(spark, sf_dir), path)
+    per_id = log_source.read_messages(spark, ".+", path).groupBy("topic", "id").agg(
         F.count(F.lit(1)).alias("m"), F.min("shard").alias("low"), F.max("shard").alias("high")
     )
     return per_id.groupBy("topic").agg(
@@ -567,15 +609,16 @@ def quarantine_reasons(spark, sf_dir):
 # --- streams ---------------------------------------------------------------
 
 
-def arrivals(df: DataFrame, tag: str, redelivered: DataFrame | None = None) -> DataFrame:
-    """``df`` as a file stream that arrives shard by shard, not in time order."""
+def arrivals(df: DataFrame, tag: str, at: Column, redelivered: DataFrame | None = None) -> DataFrame:
+    """``df`` as a file stream that arrives in slices of event time ``at`` (milliseconds)."""
     spark = df.sparkSession
     path = workspace(spark, tag)
-    df.hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
-    if redelivered is not None:
-        redelivered.hint("rebalance", F.col("shard")).write.mode("append").partitionBy("shard").parquet(path)
-    files = max(1, spark.sparkContext.defaultParallelism // 4)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    rows = df if redelivered is None else df.unionByName(redelivered)
+    slices = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((at - FIRST_MS) / SLICE_MS)))
+    rows = materialize(rows.withColumn("_slice", slices), f"{tag}-rows")
+    for k in range(SLICES):
+        rows.filter(F.col("_slice") == k).drop("_slice").repartition(2).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def finished(stream: DataFrame, tag: str, mode: str = "update") -> str:
@@ -594,7 +637,7 @@ def finished(stream: DataFrame, tag: str, mode: str = "update") -> str:
 
 def _streamed_state(spark: SparkSession, sf_dir: str, lateness: str | None) -> DataFrame:
     actions = gated(spark, sf_dir).select("namespace", "id", "ts_ms", "seq", "ord", "action", "payload", "shard")
-    stream = live_state.keyed_state_stream(arrivals(actions, "actions"), lateness=lateness)
+    stream = live_state.keyed_state_stream(arrivals(actions, "actions", F.col("ts_ms")), lateness=lateness)
     table = batches.latest_updates(spark, finished(stream, "state"), ["namespace", "id"])
     return table.filter("alive").select(
         "namespace", "id", F.col("put_ms").alias("ts_ms"), F.col("put_seq").alias("seq"), text("payload").alias("payload")
@@ -608,14 +651,14 @@ def keyed_state_stream(spark, sf_dir):
 
 @query
 def keyed_state_stream_expiring(spark, sf_dir):
-    return _streamed_state(spark, sf_dir, NO_LATE_ROWS)
+    return _streamed_state(spark, sf_dir, LATENESS)
 
 
 @query
 def dedupe_stream(spark, sf_dir):
     rows = fx.messages(spark, sf_dir).withColumn("ts", keys.utc_time(F.col("ts_ms"))).drop("ip_addr", "partition")
-    stream = arrivals(rows, "redelivered", redelivered=rows.filter("seq % 20 = 0"))
-    once = records.dedupe_redelivered(stream, NO_LATE_ROWS)
+    stream = arrivals(rows, "redelivered", F.col("ts_ms"), redelivered=rows.filter("seq % 20 = 0"))
+    once = records.dedupe_redelivered(stream, LATENESS)
     path = finished(once.select("namespace", "shard", "seq", "ord", "id"), "deduped", "append")
     return batches.read_batches(spark, path).drop("batch")
 
@@ -624,7 +667,7 @@ def dedupe_stream(spark, sf_dir):
 def stream_rates(spark, sf_dir):
     rows = _sized(spark, sf_dir).withColumn("ts", keys.utc_time(F.col("ts_ms")))
     stream = live.stream_metrics(
-        arrivals(rows.select("namespace", "ts", "n_bytes", "shard"), "rates"), 60, NO_LATE_ROWS
+        arrivals(rows.select("namespace", "ts", "n_bytes"), "rates", F.unix_millis("ts")), 60, LATENESS
     )
     return batches.latest_updates(spark, finished(stream, "windows"), ["namespace", "bucket_ms"])
 
@@ -634,7 +677,7 @@ def ingest_e2e(spark, sf_dir):
     """Rows that each output of the whole path holds at the end."""
     path = workspace(spark, "ingest")
     ingest.run_ingest(
-        arrivals(fx.requests(spark, sf_dir), "requests"),
+        arrivals(fx.requests(spark, sf_dir), "requests", F.col("recv_ms")),
         path,
         policy=fx.policy(spark),
         namespaces=fx.NAMESPACES,
@@ -642,9 +685,25 @@ def ingest_e2e(spark, sf_dir):
         limit=fx.MAX_BODY,
         validators=JSON,
     ).awaitTermination()
+    return _held(spark, path)
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame:
     live_rows = state_table.read_state(spark, f"{path}/state").groupBy("namespace").agg(n_rows())
     stored = batches.read_batches(spark, f"{path}/archive", schema=archive.ARCHIVE).groupBy("namespace").agg(n_rows())
     refused = batches.read_batches(spark, f"{path}/quarantine").groupBy("reason").agg(n_rows())
     parts = [(live_rows, "state", "namespace"), (stored, "archive", "namespace"), (refused, "quarantine", "reason")]
     out = [df.select(F.lit(sink).alias("sink"), F.col(c).alias("item"), "n") for df, sink, c in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def consume_e2e(spark, sf_dir):
+    """The same from a log of envelopes, some of them corrupt, the state compacted on the way."""
+    path = workspace(spark, "consume")
+    encoded = envelope.encode_messages(fx.messages(spark, sf_dir))
+    corrupt = (F.col("seq") % 50 == 0) & (F.col("ord") == 0)
+    encoded = encoded.withColumn("value", F.when(corrupt, F.unhex(F.lit("FFFF"))).otherwise(F.col("value")))
+    stream = envelope.decode_messages(arrivals(encoded, "envelopes", FIRST_MS + F.pmod(F.xxhash64("key"), F.lit(SLICES)) * SLICE_MS))
+    ingest.run_consumer(stream, path, routes=ROUTES, validators=JSON, compact_every=2).awaitTermination()
+    return _held(spark, path)

@@ -12,13 +12,16 @@ ARCHIVE = "key string, value binary, namespace string, ds string"
 
 
 def archive_rows(actions: DataFrame, date_by: str = "event", date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """(namespace, ds, key, value) of the stores; an archive ignores deletes."""
+    """(namespace, ds, key, value) of the stores; an archive ignores deletes.
+
+    Stores without an event time go to the day ``undated``.
+    """
     if date_by not in ("event", "ingest"):
         raise ValueError(f"unknown date_by {date_by!r}")
     at = utc_time(F.col("ts_ms")) if date_by == "event" else F.current_timestamp()
     return actions.filter("action = 'store'").select(
         "namespace",
-        F.date_format(at, date_format).alias("ds"),
+        F.coalesce(F.date_format(at, date_format), F.lit("undated")).alias("ds"),
         F.col("id").alias("key"),
         F.col("payload").alias("value"),
     )

@@ -19,14 +19,9 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def committed_batches(spark: SparkSession, path: str, name: str = "batch") -> list[int]:
     """Ids of the ``name=<id>`` folders whose write has finished."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    ids = [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
-    done = [i for i in ids if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={i}/_SUCCESS"))]
-    return sorted(done)
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
 
 
 def read_batches(

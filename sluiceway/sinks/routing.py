@@ -18,6 +18,13 @@ def route(df: DataFrame, routes: dict[str, str]) -> DataFrame:
     return df.withColumn("route", target)
 
 
+def check_routes(routes: dict[str, str], writers: dict[str, Writer]) -> None:
+    """Fail before any row is read where a route names no writer."""
+    unknown = sorted(set(routes.values()) - set(writers))
+    if unknown:
+        raise ValueError(f"no writer for route {', '.join(unknown)}")
+
+
 def write_routed(routed: DataFrame, writers: dict[str, Writer], batch_id: int) -> None:
     """Hand each writer the rows of its route. Persist ``routed`` first: each writer scans it."""
     for name, write in writers.items():

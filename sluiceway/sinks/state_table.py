@@ -7,39 +7,66 @@ repetition, so an upsert costs what its batch costs, however large the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluiceway.operators.state import HORIZON_MS, live_rows, merge_states, partial_state
+from sluiceway.operators.state import HORIZON_MS, KEY, is_alive, live_rows, merge_states, partial_state, with_row_keys
 from sluiceway.sinks.batches import committed_batches, read_batches, write_batch
 
 
-def upsert_state(actions: DataFrame, path: str, batch_id: int) -> None:
-    """Apply a batch of stores and deletes. Repeating a batch id changes nothing."""
-    write_batch(partial_state(actions), f"{path}/delta", batch_id)
+def _keys(key_mode: str) -> list[str]:
+    if key_mode not in ("plain", "salted"):
+        raise ValueError(f"unknown key mode {key_mode!r}")
+    return KEY if key_mode == "plain" else [*KEY, "row_key"]
 
 
-def _merged(spark: SparkSession, path: str) -> DataFrame | None:
+def upsert_state(actions: DataFrame, path: str, batch_id: int, key_mode: str = "plain") -> None:
+    """Apply a batch of stores and deletes. Repeating a batch id changes nothing.
+
+    A salted table has a row per id and day, which deletes do not reach.
+    """
+    keys = _keys(key_mode)
+    if key_mode == "salted":
+        actions = with_row_keys(actions).filter("action = 'store'")
+    write_batch(partial_state(actions, keys), f"{path}/delta", batch_id)
+
+
+def _merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
     bases = committed_batches(spark, f"{path}/base")
     parts = [read_batches(spark, f"{path}/delta", after=bases[-1] if bases else -1)]
     if bases:
         parts.append(spark.read.parquet(f"{path}/base/batch={bases[-1]}"))
-    parts = [p.select("namespace", "id", "put_at", "payload", "del_ms") for p in parts if p is not None]
+    parts = [p.select(*keys, "put_at", "payload", "del_ms") for p in parts if p is not None]
     if not parts:
         return None
-    return merge_states(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return merge_states(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), keys)
 
 
-def read_state(spark: SparkSession, path: str, horizon_ms: int = HORIZON_MS) -> DataFrame:
+def read_state(spark: SparkSession, path: str, horizon_ms: int = HORIZON_MS, key_mode: str = "plain") -> DataFrame:
     """The live rows."""
-    merged = _merged(spark, path)
+    merged = _merged(spark, path, _keys(key_mode))
     if merged is None:
         raise ValueError(f"no finished batch below {path}")
-    return live_rows(merged, horizon_ms)
+    return live_rows(merged, horizon_ms, _keys(key_mode))
+
 
+def compact_state(spark: SparkSession, path: str, horizon_ms: int = HORIZON_MS, lateness_ms: int | None = None, key_mode: str = "plain") -> None:
+    """Write a base that covers every finished delta; readers use it from then on.
 
-def compact_state(spark: SparkSession, path: str) -> None:
-    """Write a base that covers every finished delta; readers use it from then on."""
+    The base holds no put that a delete hides, as any write that could follow
+    it is hidden too. With ``lateness_ms``, how far behind the newest row a row
+    may still come, it also leaves out deletes that can hide none any more.
+    """
     deltas = committed_batches(spark, f"{path}/delta")
     bases = committed_batches(spark, f"{path}/base")
-    if deltas and deltas[-1] > (bases[-1] if bases else -1):
-        write_batch(_merged(spark, path), f"{path}/base", deltas[-1])
+    if not deltas or deltas[-1] <= (bases[-1] if bases else -1):
+        return
+    merged = _merged(spark, path, _keys(key_mode))
+    alive = is_alive(F.col("put_at"), F.col("del_ms"), horizon_ms)
+    kept = merged.withColumns({"payload": F.when(alive, F.col("payload")), "put_at": F.when(alive, F.col("put_at"))})
+    if lateness_ms is not None:
+        newest = merged.agg(F.max(F.greatest("put_at.ts_ms", "del_ms"))).first()[0]
+        if newest is not None:
+            spent = F.col("del_ms") + horizon_ms < newest - lateness_ms
+            kept = kept.withColumn("del_ms", F.when(~spent, F.col("del_ms")))
+        kept = kept.filter("put_at is not null or del_ms is not null")
+    write_batch(kept, f"{path}/base", deltas[-1])

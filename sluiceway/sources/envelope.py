@@ -111,8 +111,8 @@ def encode_messages(df: DataFrame) -> DataFrame:
 def decode_messages(df: DataFrame, mode: str = "permissive") -> DataFrame:
     """Typed messages from ``value``.
 
-    permissive: an undecodable row keeps its log position and gets reason
-    ``undecodable``. failfast: it stops the job.
+    permissive: an undecodable row keeps its log position and, as payload, its
+    bytes, and gets reason ``undecodable``. failfast: it stops the job.
     """
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -121,11 +121,13 @@ def decode_messages(df: DataFrame, mode: str = "permissive") -> DataFrame:
     def decode(batches):
         envelope = _envelope()
         for batch in batches:
-            rows = [_decode_row(envelope, v) for v in batch.column("value").to_pylist()]
+            values = batch.column("value").to_pylist()
+            rows = [_decode_row(envelope, v) for v in values]
             if mode == "failfast" and None in rows:
                 raise ValueError(f"undecodable message at seq {batch.column('seq')[rows.index(None)]}")
             columns = {n: batch.column(n) for n in ("seq", "shard", "ord")}
             columns |= {n: [r[n] if r else None for r in rows] for n in names}
+            columns["payload"] = [r["payload"] if r else v for r, v in zip(rows, values)]
             columns["reason"] = [None if r else "undecodable" for r in rows]
             types = {"ip_addr": pa.binary(), "payload": pa.binary(), "ts_ms": pa.int64(), "partition": pa.list_(pa.string())}
             arrays = [

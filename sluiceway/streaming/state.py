@@ -5,9 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sluiceway.operators.state import HORIZON_MS, KEY, is_alive, partial_state
+from sluiceway.operators.state import HORIZON_MS, KEY, ORDER, is_alive, partial_state
 
 PARTIAL = T.StructType(
     [
@@ -17,34 +18,33 @@ PARTIAL = T.StructType(
         T.StructField("put_ms", T.LongType()),
         T.StructField("put_seq", T.LongType()),
         T.StructField("put_ord", T.IntegerType()),
+        T.StructField("put_shard", T.LongType()),
         T.StructField("payload", T.BinaryType()),
         T.StructField("del_ms", T.LongType()),
     ]
 )
 OUTPUT = T.StructType(
-    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord")]
+    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard")]
     + [T.StructField("alive", T.BooleanType())]
 )
 
 
 def _combine(batches):
-    """One row per key and Arrow batch, so that a hot key reaches its task pre-merged."""
+    """The last put and the last delete per key and Arrow batch, each with its own time.
+
+    A hot key so reaches its task pre-merged, and whether a row is late does
+    not depend on which others it was merged with.
+    """
     for batch in batches:
-        t = pa.Table.from_batches([batch]).sort_by(
-            [("ts_ms", "ascending"), ("seq", "ascending"), ("ord", "ascending")]
-        )
+        t = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in ORDER])
         is_put = pc.equal(t["action"], "store")
-        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate(
-            [(c, "last") for c in ("ts_ms", "seq", "ord", "payload")]
-        )
+        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([(c, "last") for c in (*ORDER, "payload")])
         dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last")])
-        puts = puts.rename_columns(
-            {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "payload_last": "payload"}
-        )
-        both = puts.join(dels.rename_columns({"ts_ms_last": "del_ms"}), KEY, join_type="full outer")
-        newest = pc.max_element_wise(both["put_ms"], both["del_ms"])
-        out = both.append_column("newest_ms", newest).select(PARTIAL.names)
-        yield from out.to_batches()
+        names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload"}
+        for part, at in ((puts.rename_columns(names), "put_ms"), (dels.rename_columns({"ts_ms_last": "del_ms"}), "del_ms")):
+            part = part.append_column("newest_ms", part[at])
+            columns = [part[f.name] if f.name in part.column_names else pa.nulls(len(part)) for f in PARTIAL]
+            yield from pa.table(columns, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
 
 
 class _KeyState(StatefulProcessor):
@@ -56,7 +56,7 @@ class _KeyState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._kept = handle.getValueState(
-            "kept", "put_ms long, put_seq long, put_ord int, payload binary, del_ms long"
+            "kept", "put_ms long, put_seq long, put_ord int, put_shard long, payload binary, del_ms long"
         )
 
     def _hidden(self, put_ms, del_ms) -> bool:
@@ -64,35 +64,35 @@ class _KeyState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         old = self._kept.get()
-        put, tomb = (tuple(old[:4]), old[4]) if old else ((None,) * 4, None)
+        put, tomb = (tuple(old[:5]), old[5]) if old else ((None,) * 5, None)
         old_tomb = tomb
         for r in rows:
             if r.put_ms is not None:
-                new = (r.put_ms, r.put_seq, r.put_ord, r.payload)
-                if put[0] is None or new[:3] > put[:3]:
+                new = (r.put_ms, r.put_seq, r.put_ord, r.put_shard, r.payload)
+                if put[0] is None or new[:4] > put[:4]:
                     put = new
             if r.del_ms is not None and (tomb is None or r.del_ms > tomb):
                 tomb = r.del_ms
         if put[0] is not None and self._hidden(put[0], tomb):
-            put = (None,) * 4  # later deletes only hide more
+            put = (None,) * 5  # later deletes only hide more
         self._kept.update((*put, tomb))
         if tomb != old_tomb:
             if old_tomb is not None:
                 self._handle.deleteTimer(old_tomb + self._horizon_ms)
             self._handle.registerTimer(tomb + self._horizon_ms)
         yield Row(
-            namespace=key[0], id=key[1], put_ms=put[0], put_seq=put[1], payload=put[3], del_ms=tomb,
+            namespace=key[0], id=key[1], put_ms=put[0], put_seq=put[1], payload=put[4], del_ms=tomb,
             alive=put[0] is not None,
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Past the horizon no later write can be hidden: forget the tombstone."""
         kept = self._kept.get()
-        if kept and kept[4] is not None and kept[4] + self._horizon_ms == expiredTimerInfo.getExpiryTimeInMs():
+        if kept and kept[5] is not None and kept[5] + self._horizon_ms == expiredTimerInfo.getExpiryTimeInMs():
             if kept[0] is None:
                 self._kept.clear()
             else:
-                self._kept.update((*kept[:4], None))
+                self._kept.update((*kept[:5], None))
         return iter(())
 
     def close(self) -> None:
@@ -108,12 +108,12 @@ def keyed_state_stream(
     the JVM, merged per key before the shuffle, any row order, but tombstones
     stay in the state for good.
 
-    With it, a tombstone leaves the state once the horizon has passed. Rows may
+    With it, rows need a time (others are not read), and a tombstone leaves the state once the horizon has passed. Rows may
     then come at most ``lateness`` behind the newest one: a put later than that
     could show again a key whose tombstone has expired.
     """
     if lateness is None:
-        alive = is_alive(F.col("put_at.ts_ms"), F.col("del_ms"), horizon_ms)
+        alive = is_alive(F.col("put_at"), F.col("del_ms"), horizon_ms)
         return partial_state(actions).select(
             *KEY,
             F.col("put_at.ts_ms").alias("put_ms"),
@@ -122,8 +122,9 @@ def keyed_state_stream(
             "del_ms",
             alive.alias("alive"),
         )
-    wanted = actions.filter(F.col("action").isin("store", "delete")).select(
-        *KEY, "ts_ms", "seq", "ord", "action", "payload"
+    timed = F.col("action").isin("store", "delete") & F.col("ts_ms").isNotNull()
+    wanted = actions.filter(timed).select(
+        *KEY, *ORDER, "action", "payload"
     )
     combined = wanted.mapInArrow(_combine, PARTIAL).withColumn("at", F.timestamp_millis("newest_ms"))
     return (

@@ -10,7 +10,7 @@ from sluiceway.operators.ordering import running_totals
 
 def brute_files(rows, limit):
     used, no, out = {}, {}, {}
-    for ns, ds, shard, seq, n in sorted(rows):
+    for ns, ds, shard, seq, n in sorted(rows, key=lambda r: r[3]):
         g = (ns, ds, shard)
         if g not in used:
             used[g], no[g] = 0, 0
@@ -25,15 +25,14 @@ SCHEMA = "namespace string, ds string, shard long, seq long, n_bytes long"
 
 
 @pytest.mark.parametrize("limit", [0, 1, 7, 100, 10_000])
-@pytest.mark.parametrize("direct_rows", [0, 10_000])
-def test_files_equal_an_ordered_pass(spark, limit, direct_rows):
+def test_files_equal_an_ordered_pass(spark, limit):
     rng = random.Random(limit)
     sizes = [0, 0, 1, 3, 8, 20, 99, 100, 101, 450]
     # One group holds most rows; seq has gaps; empty records share a position.
-    groups = [("hot", "d", 0)] * 8 + [("a", "d", 0), ("a", "e", 1)]
+    groups = [("hot", "d", 0)] * 8 + [("a", "d", 0), ("a", "e", 1), (None, "d", 0), (None, None, None), ("a", None, 1)]
     rows = [(*rng.choice(groups), seq * 3, rng.choice(sizes)) for seq in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
-    planned = plan_files(df, limit, order=("seq",), chunk=64, direct_rows=direct_rows)
+    planned = plan_files(df, limit, order=("seq",), chunk=64)
     got = {(r.namespace, r.ds, r.shard, r.seq): r.file_no for r in planned.collect()}
     assert got == brute_files(rows, limit)
 
@@ -42,6 +41,13 @@ def test_files_of_no_rows(spark):
     assert plan_files(spark.createDataFrame([], SCHEMA), 10, order=("seq",)).count() == 0
 
 
+def test_null_groups_and_sizes_are_kept(spark):
+    rows = [(None, "d", 0, 1, 5), (None, "d", 0, 2, None), ("a", None, 0, 3, 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.seq for r in plan_files(df, 5, order=("seq",)).collect()) == [1, 2, 3]
+    assert sorted((r.seq, r.batch) for r in flush_batches(df, 1, ("namespace", "ds"), ("seq",)).collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
 def test_negative_file_limit(spark):
     with pytest.raises(ValueError):
         plan_files(spark.createDataFrame([], SCHEMA), -1)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from sluiceway.operators import metrics, policy, records, replay, validation
 from sluiceway.plans import fixtures as fx
-from sluiceway.plans.queries import JSON, ROUTES
+from sluiceway.plans.oracles import ORACLES
+from sluiceway.plans.queries import JSON, QUERIES, ROUTES
 from sluiceway.schemas import REQUESTS
 from sluiceway.session import materialize, shared_dir
 from sluiceway.sinks import archive, batches, log, routing, state_table
@@ -64,19 +65,28 @@ def test_policy_precedence_joined_and_inline(spark, key):
     expected = {n: expected_rule(n + key, RULES) or "none" for n in NAMES}
     joined = policy.resolve_policy(names, rules, key, "none")
     assert {r.namespace: r.value for r in joined.collect()} == expected
-    inline = policy._inline_value(F.col("namespace"), rules.collect(), key, "none")
-    assert {r.namespace: r.v for r in names.select("namespace", inline.alias("v")).collect()} == expected
+    flags = policy_frame(spark, {r: "true" if v in ("long", "exact", "7") else "no" for r, v in RULES.items()})
+    inline = policy.attach_settings(names, flags, {"f": (key, "true")})
+    expected = {n: v in ("long", "exact", "7", "none") for n, v in expected.items()}
+    assert {r.namespace: r.f for r in inline.collect()} == expected
     plan = plan_of(joined)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_large_policies_are_joined(spark):
-    names = spark.createDataFrame([("a",), ("b",), (None,)], "namespace string")
-    rules = policy_frame(spark, {"a.f": "TRUE", "b*.f": "no", "c.f": "true"})
-    for limit in (10, 1):
-        out = policy.attach_settings(names, rules, {"f": (".f", "true")}, inline_rules=limit)
-        got = {r.namespace: r.f for r in out.collect()}
-        assert (got["a"], got["b"]) == (True, False)
+@pytest.mark.parametrize("more", [0, 5000])
+def test_policies_of_any_size(spark, tmp_path, more):
+    """The same answers, in a batch and on a stream, with few rules and with thousands; no value means the default."""
+    rules = policy_frame(spark, {"a.f": "TRUE", "b*.f": "no", "c.f": None} | {f"*x{i}.f": "no" for i in range(more)})
+    spark.createDataFrame([("a",), ("b1",), ("c",), (None,), ("zx7",)], "namespace string").write.parquet(f"{tmp_path}/in")
+    names = spark.read.parquet(f"{tmp_path}/in")
+    expected = {"a": True, "b1": False, "c": True, None: True, "zx7": not more}
+    batch = policy.attach_settings(names, rules, {"f": (".f", "true")})
+    assert {r.namespace: r.f for r in batch.collect()} == expected
+    stream = policy.attach_settings(spark.readStream.schema(names.schema).parquet(f"{tmp_path}/in"), rules, {"f": (".f", "true")})
+    run = stream.writeStream.format("memory").queryName(f"flags{more}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {r.namespace: r.f for r in spark.table(f"flags{more}").collect()} == expected
+    assert "Exchange" not in plan_of(batch) and "Join" not in plan_of(batch)
 
 
 def test_empty_and_missing_validators(spark):
@@ -141,9 +151,9 @@ def test_destinations(spark):
 
 
 def test_replay(spark):
-    rows = [("ns", f"id{i}", 0, i, 0, "store", bytearray(b"x")) for i in range(500)]
-    rows += [("ns", f"id{i}", 0, 500 + i, 0, "delete", None) for i in range(50)]
-    df = spark.createDataFrame(rows, "namespace string, id string, ts_ms long, seq long, ord int, action string, payload binary")
+    rows = [("ns", f"id{i}", 0, i // 2, 0, "store", bytearray(b"x"), i % 2) for i in range(500)]
+    rows += [("ns", f"id{i}", 0, 500 + i, 0, "delete", None, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "namespace string, id string, ts_ms long, seq long, ord int, action string, payload binary, shard long")
     assert replay.replay_plan(df, "%k").count() == 500
     assert replay.replay_plan(df, "%k", deletes=True).filter("method = 'DELETE'").count() == 50
     for stable in (True, False):
@@ -154,13 +164,51 @@ def test_replay(spark):
     assert {r.url for r in moved if r.method == "DELETE"} == {f"id{i}" for i in range(50)}
 
 
-def test_quantiles_both_ways(spark, sf_dir):
-    events = fx.events(spark, sf_dir).select(F.when(F.col("event_id") % 3 == 0, 5.0).otherwise(F.col("value")).alias("value"))
-    small, large = metrics.latency_report(events, "value"), metrics.latency_report(events, "value", inline_values=0)
-    a, b = small.first().asDict(), large.first().asDict()
-    assert a == pytest.approx(b)
-    one = spark.createDataFrame([(4.0,)], "value double")
-    assert metrics.latency_report(one, "value", inline_values=0).first().p99 == 4.0
+def test_quantiles_are_exact(spark):
+    inf = float("inf")
+    for values, p75, p50 in (([1.0, 2.0, 3.0, 4.0, inf], 4.0, 3.0), ([4.0], 4.0, 4.0), ([1.0, 2.0], 1.75, 1.5), ([None, None], None, None)):
+        report = metrics.latency_report(spark.createDataFrame([(v,) for v in values], "value double"), "value").first()
+        assert (report.p75, report.p50) == (p75, p50)
+
+
+def test_earlier_reasons_survive_the_gate(spark):
+    df = spark.createDataFrame([(None, None, None, "undecodable"), ("a", bytearray(b"{}"), None, None)], "id string, payload binary, operation string, reason string")
+    got = {(r.action, r.reason) for r in validation.gate_operations(df, JSON).collect()}
+    assert got == {("invalid", "undecodable"), ("store", None)}
+
+
+def test_long_numbers_stay_as_sent(spark):
+    number = "1234567890" * 5
+    cases = {'{"n": %s}' % number: '{"n": %s,"ingest_ts":7}' % number, "{ }": '{ "ingest_ts":7}', '{"ingest_ts":1}': '{"ingest_ts":7}', "[1]": None}
+    df = spark.createDataFrame([(bytearray(k.encode()), 7) for k in cases], "payload binary, ts_ms long")
+    assert [r.payload and bytes(r.payload).decode() for r in records.with_ingest_ts(df).collect()] == list(cases.values())
+
+
+def test_routes_need_writers(spark, sf_dir, tmp_path):
+    stream = spark.readStream.schema(REQUESTS).parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="replay2"):
+        ingest.run_ingest(stream, str(tmp_path / "o"), policy=fx.policy(spark), namespaces=fx.NAMESPACES, routes={"telemetry": "replay2"})
+
+
+def test_every_message_reaches_one_writer(spark, sf_dir, tmp_path):
+    """A consumer with all kinds of writers, the caller's own among them."""
+    messages = materialize(fx.messages(spark, sf_dir), "messages")
+    routes = {"telemetry": "state_salted", "metrics": "archive_stamped", "testpilot_0": "replay", "testpilot_1": "log", "testpilot_2": "mine"}
+    src, out, mine = str(tmp_path / "in"), str(tmp_path / "out"), []
+    messages.coalesce(2).write.parquet(src)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    own = {"mine": lambda df, i: mine.append(df.count())}
+    ingest.run_consumer(stream.withColumn("reason", F.lit(None).cast("string")), out, routes=routes, writers=own).awaitTermination()
+    refused = batches.read_batches(spark, f"{out}/quarantine")
+    assert {r.reason for r in refused.select("reason").distinct().collect()} == {"unroutable"}
+    assert refused.filter("payload is not null and id is not null").count() > 0
+    n = {r.namespace: r["count"] for r in messages.groupBy("namespace").count().collect()}
+    assert sum(mine) == n["testpilot_2"] and refused.count() == n["marketplace_apps"]
+    assert batches.read_batches(spark, f"{out}/log").count() == n["testpilot_1"]
+    assert batches.read_batches(spark, f"{out}/replay").count() == n["testpilot_0"]
+    stamped = batches.read_batches(spark, f"{out}/archive_stamped").select(F.col("value").cast("string").alias("v"))
+    assert stamped.filter("v like '%\"ingest_ts\":%'").count() > 0
+    assert state_table.read_state(spark, f"{out}/state_salted", key_mode="salted").count() > 0
 
 
 def test_request_totals_need_one_grouping_of_the_input(spark, sf_dir):
@@ -232,10 +280,10 @@ def test_ingest_opens_bodies_after_the_size_limit(spark, tmp_path):
     out = ingest.prepare(
         spark.createDataFrame(data, REQUESTS), fx.policy(spark), fx.NAMESPACES, ROUTES, limit=100, max_value=500, inflated=True
     )
-    got = {r.seq: (r.reason, r.action, r.payload and len(r.payload)) for r in out.collect()}
+    got = {r.seq: (r.reason, r.action, None if r.payload is None else len(r.payload)) for r in out.collect()}
     assert got == {
-        0: ("oversized", "invalid", 800), 1: ("corrupt_body", "ignored", None), 2: ("empty_body", "ignored", None),
-        3: (None, "store", 8), 4: ("body_too_large", "ignored", None),
+        0: ("oversized", "invalid", 800), 1: ("corrupt_body", "invalid", None), 2: ("empty_body", "invalid", 0),
+        3: (None, "store", 8), 4: ("body_too_large", "invalid", 101),
     }
 
 
@@ -264,7 +312,8 @@ def test_shared_folder_comes_from_the_session():
 def test_entry(spark):
     out = contract.entry(spark)
     assert out.columns == ["namespace", "outcome", "reason", "n"] and out.count() > 0
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_outcomes_as_published(spark):

@@ -137,7 +137,7 @@ def test_ingest_ts(spark):
     out = with_ingest_ts(df).orderBy("i").collect()
     got = [r.payload and bytes(r.payload).decode() for r in out]
     assert got[1] == '{"ingest_ts":77}' and got[6] == '{"a":1,"ingest_ts":77}'
-    assert '"ingest_ts":77' in got[0] and '"a":[1]' in got[0]
+    assert '"ingest_ts":77' in got[0] and '"a": [1]' in got[0]
     assert got[2:6] == [None] * 4 and [r.reason for r in out[2:6]] == ["not_an_object"] * 4
     assert out[7].payload is None and out[7].reason is None
 

@@ -7,7 +7,7 @@ from sluiceway.operators import state
 from sluiceway.sinks import batches, state_table
 from sluiceway.streaming.state import keyed_state_stream
 
-SCHEMA = "namespace string, id string, ts_ms long, seq long, ord int, action string, payload binary"
+SCHEMA = "namespace string, id string, ts_ms long, seq long, ord int, action string, payload binary, shard long"
 H = 100
 
 
@@ -18,13 +18,13 @@ def actions(n=400, seed=3):
     for seq in range(n):
         doc = "a0" if rng.random() < 0.34 else rng.choice(["b0", "c1", "d2", "e3"]) + str(rng.randint(0, 20))
         kind = rng.choice(["store", "store", "store", "delete", "ignored", "invalid"])
-        rows.append(("ns", doc, rng.randint(0, 2000), seq, 0, kind, bytearray(str(seq).encode())))
+        rows.append(("ns", doc, rng.randint(0, 2000), seq, 0, kind, bytearray(str(seq).encode()), seq % 3))
     return rows
 
 
 def brute(rows, horizon):
     puts, dels = {}, {}
-    for ns, doc, ts, seq, ord_, kind, payload in rows:
+    for ns, doc, ts, seq, ord_, kind, payload, _ in rows:
         if kind == "store" and (doc not in puts or (ts, seq, ord_) > puts[doc][:3]):
             puts[doc] = (ts, seq, ord_, bytes(payload))
         if kind == "delete":
@@ -44,7 +44,7 @@ def test_state_equals_brute_force(spark, horizon):
 
 
 def test_a_delete_wins_a_tie(spark):
-    rows = [("ns", "a", 5, 1, 0, "delete", None), ("ns", "a", 5, 2, 0, "store", bytearray(b"x"))]
+    rows = [("ns", "a", 5, 1, 0, "delete", None, 0), ("ns", "a", 5, 2, 0, "store", bytearray(b"x"), 0)]
     assert state.keyed_state(spark.createDataFrame(rows, SCHEMA), 0).count() == 0
 
 
@@ -58,18 +58,46 @@ def test_dropped_versions(spark):
     assert sorted(r.seq for r in state.drop_deleted(df, H).collect()) == expected
 
 
+def test_no_store_is_lost(spark):
+    """Untimed stores rank lowest and any delete hides them; shards break ties; salted, they keep their raw id."""
+    b = bytearray(b"x")
+    rows = [
+        ("ns", "aa", None, 1, 0, "store", b, 0), ("ns", "ab", None, 1, 0, "store", b, 0), ("ns", "ab", 5, 1, 0, "store", b, 0),
+        ("ns", "ac", None, 1, 0, "store", b, 0), ("ns", "ac", 1, 2, 0, "delete", None, 0),
+        ("ns", "ad", 5, 1, 0, "store", b, 0), ("ns", "ad", 5, 1, 0, "store", bytearray(b"y"), 1),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.ts_ms, bytes(r.payload)) for r in state.keyed_state(df, 0).collect()}
+    assert got == {"aa": (None, b"x"), "ab": (5, b"x"), "ad": (5, b"y")}
+    keyed = state.keyed_state(df, 0, "salted").collect()
+    assert len(keyed) == 5 and bytes(next(r.row_key for r in keyed if r.id == "aa")) == b"aa"
+
+
+def test_compaction_forgets_deleted_payloads_and_spent_deletes(spark, tmp_path):
+    path, day = str(tmp_path / "state"), 86_400_000
+    rows = [
+        ("ns", "gone", 1, 1, 0, "store", bytearray(b"secret"), 0), ("ns", "gone", 2, 2, 0, "delete", None, 0),
+        ("ns", "here", 30 * day, 3, 0, "store", bytearray(b"kept"), 0), ("ns", "late", 29 * day, 4, 0, "delete", None, 0),
+    ]
+    state_table.upsert_state(spark.createDataFrame(rows, SCHEMA), path, 0)
+    state_table.compact_state(spark, path, lateness_ms=day)
+    base = spark.read.parquet(f"{path}/base/batch=0")
+    assert sorted((r.id, r.payload and bytes(r.payload), r.del_ms) for r in base.collect()) == [("here", b"kept", None), ("late", None, 29 * day)]
+    assert [r.id for r in state_table.read_state(spark, path).collect()] == ["here"]
+
+
 def test_salted_rows_escape_deletes_unless_fixed(spark):
     day = 86_400_000
     rows = [
-        ("ns", "ab", 1, 1, 0, "store", bytearray(b"1")),
-        ("ns", "ab", 2 * day, 2, 0, "store", bytearray(b"2")),
-        ("ns", "ab", 5, 3, 0, "delete", None),
-        ("ns", "zz", 1, 4, 0, "store", bytearray(b"3")),
+        ("ns", "ab", 1, 1, 0, "store", bytearray(b"1"), 0),
+        ("ns", "ab", 2 * day, 2, 0, "store", bytearray(b"2"), 0),
+        ("ns", "ab", 5, 3, 0, "delete", None, 0),
+        ("ns", "zz", 1, 4, 0, "store", bytearray(b"3"), 0),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.seq for r in state.keyed_state(df, 0, "salted").collect()) == [1, 2]
     assert [r.seq for r in state.keyed_state(df, 0, "salted", fix_deletes=True).collect()] == [2]
-    assert [r.seq for r in state.unsaltable(df).collect()] == [4]
+    assert [r.seq for r in state.with_row_keys(df).filter("reason = 'unsaltable'").collect()] == [4]
     with pytest.raises(ValueError):
         state.keyed_state(df, key_mode="other")
 
@@ -82,13 +110,13 @@ def test_upserts_in_any_order_repeated_and_compacted(spark, tmp_path):
         state_table.read_state(spark, path)
     for i, part in enumerate(parts[:2]):
         state_table.upsert_state(part, path, i)
-    state_table.compact_state(spark, path)
+    state_table.compact_state(spark, path, H)
     state_table.upsert_state(parts[1], path, 1)  # a repeated batch
     for i, part in enumerate(parts[2:], 2):
         state_table.upsert_state(part, path, i)
     assert rows_of(state_table.read_state(spark, path, H)) == brute(rows, H)
-    state_table.compact_state(spark, path)
-    state_table.compact_state(spark, path)
+    state_table.compact_state(spark, path, H)
+    state_table.compact_state(spark, path, H)
     assert batches.committed_batches(spark, f"{path}/base") == [1, 3]
     assert rows_of(state_table.read_state(spark, path, H)) == brute(rows, H)
 
@@ -138,10 +166,10 @@ def test_tombstones_expire(spark, tmp_path):
     """Once the watermark passes D + horizon, the tombstone leaves the state."""
     src, out, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
     steps = [
-        [("ns", "a", 1_000, 1, 0, "delete", None)],
-        [("ns", "b", 50_000, 2, 0, "store", bytearray(b"x"))],
-        [("ns", "b", 60_000, 3, 0, "store", bytearray(b"y"))],
-        [("ns", "a", 60_001, 4, 0, "store", bytearray(b"z"))],
+        [("ns", "a", 1_000, 1, 0, "delete", None, 0)],
+        [("ns", "b", 50_000, 2, 0, "store", bytearray(b"x"), 0)],
+        [("ns", "b", 60_000, 3, 0, "store", bytearray(b"y"), 0)],
+        [("ns", "a", 60_001, 4, 0, "store", bytearray(b"z"), 0)],
     ]
     for rows in steps:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
