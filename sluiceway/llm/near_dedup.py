@@ -90,47 +90,40 @@ def _hashed(width: int):
     return run
 
 
+COMPARED = ["centre", "member", "linked", "common", "own", "enough", "any", "limit"]
+
+
 def _compared(percent: int):
     """Verdict on each pair, and for a pair that fails what of the second set can lead to its other partners.
 
-    A partner of set x shares at least ``percent`` % of x. Of those shared,
-    at most |x & c| lie in the centre c, so the rest lie in x - c, and any
-    |x - c| - rest + 1 elements of x - c hold one. Where x lies in c so far
-    that nothing need be left, the elements are taken from all of x.
-    ``leads`` are those to take from, ``enough`` how many to take.
+    Say set x shares o elements with the centre c, too few. A partner y that
+    holds none of x - c shares o at most, so it has at most
+    o * (1 + t) / t - |x| elements (``limit``). All other partners hold
+    elements of x - c (``own``): one at least, and where ``percent`` % of x are
+    more than o, so many that any ``enough`` of x - c hold one. Partners within
+    the limit, if it leaves any, are sought by ``any``: so many elements of x
+    that one must be shared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, common, leads, enough = [], [], [], []
+            rows = []
             for one, two in zip(batch.column(2), batch.column(3)):
                 c, x = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (one, two))
-                both = len(np.intersect1d(c, x, assume_unique=True))
-                same = 100 * both >= percent * (len(c) + len(x) - both)
-                linked.append(same)
-                common.append(both)
+                shared = np.intersect1d(c, x, assume_unique=True)
+                both = len(shared)
+                if 100 * both >= percent * (len(c) + len(x) - both):
+                    rows.append((True, both, None, 0, None, 0))
+                    continue
                 least = -(-percent * len(x) // 100)
-                if same:
-                    leads.append(None)
-                    enough.append(0)
-                elif least > both:
-                    own = np.setdiff1d(x, c, assume_unique=True)
-                    leads.append(own.view(np.int64))
-                    enough.append(max(0, len(own) - (least - both) + 1))
-                else:
-                    leads.append(x.view(np.int64))
-                    enough.append(len(x) - least + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(linked, pa.bool_()),
-                    pa.array(common, pa.int64()),
-                    pa.array(leads, pa.list_(pa.int64())),
-                    pa.array(enough, pa.int64()),
-                ],
-                names=["centre", "member", "linked", "common", "leads", "enough"],
-            )
+                own = np.setdiff1d(x, c, assume_unique=True)
+                limit = both * (100 + percent) // percent - len(x)
+                within = np.concatenate([own, shared])[: len(x) - least + 1] if limit >= least else own[:0]
+                enough = len(own) - max(1, least - both) + 1
+                rows.append((False, both, own.view(np.int64), enough, within.view(np.int64), limit))
+            kinds = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=COMPARED)
 
     return run
 
@@ -138,7 +131,7 @@ def _compared(percent: int):
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """Pairs (centre, member) with their verdicts, from the whole sets."""
     both = with_both(pairs, sets, "hashes")
-    schema = "centre long, member long, linked boolean, common long, leads array<bigint>, enough long"
+    schema = "centre long, member long, linked boolean, common long, own array<bigint>, enough long, any array<bigint>, limit long"
     return materialize(both.mapInArrow(_compared(percent), schema), tag)
 
 
@@ -230,24 +223,28 @@ def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: Dat
     """Pairs that may still link an outsider to another member of its buckets.
 
     An outsider has failed against a centre; what leads to its partners comes
-    from its closest comparison, the rarest shingles first. A shingle is counted
-    over the members of the outsiders' buckets, which hold every partner.
+    from its closest comparison (see ``_compared``), the rarest shingles first.
+    A shingle is counted over the members of the outsiders' buckets, which hold
+    every partner, and partners of impossible size are left out in the join.
     """
-    failed = done.where(~F.col("linked")).select(F.col("member").alias("id"), "common", "leads", "enough")
-    closest = failed.join(outside.select("id").distinct(), "id").groupBy("id").agg(F.max(F.struct("common", "leads", "enough")).alias("top"))
-    leads = closest.select("id", "top.enough", F.explode("top.leads").alias("h"))
+    failed = done.where(~F.col("linked")).select(F.col("member").alias("id"), F.struct("common", "own", "enough", "any", "limit").alias("c"))
+    closest = failed.join(outside.select("id").distinct(), "id").groupBy("id").agg(F.max("c").alias("c"))
+    sizes = sets.select("id", (F.length("hashes") / 8).cast("long").alias("m"))
+    closest = materialize(closest.join(sizes, "id").select("id", "m", "c.*"), "closest")
     near = members.join(outside.select("key").distinct(), "key", "left_semi").select("id").distinct()
     numbers = sets.join(near, "id", "left_semi").mapInArrow(_numbers, "id long, n long, hashes array<bigint>")
     tokens = numbers.select(F.col("id").alias("other"), "n", F.explode("hashes").alias("h"))
-    tokens = materialize(tokens.join(leads.select("h").distinct(), "h", "left_semi"), "tokens")
+    largest = F.floor(F.col("m") * 100 / percent)
+    own = closest.select("id", "m", "enough", largest.alias("most"), F.explode("own").alias("h"))
+    any_ = closest.select("id", "m", F.least("limit", largest).alias("most"), F.explode("any").alias("h"))
+    wanted = own.select("h").union(any_.select("h")).distinct()
+    tokens = materialize(tokens.join(wanted, "h", "left_semi"), "tokens")
+    held = own.join(tokens.groupBy("h").agg(F.count("*").alias("held")), "h")
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))  # one document's shingles
-    held = leads.join(tokens.groupBy("h").agg(F.count("*").alias("held")), "h")
-    rarest = held.where(F.col("held") > 1).select("id", "h", "enough", rank.alias("rank"))
-    alone = held.where(F.col("held") == 1).groupBy("id").agg(F.count("*").alias("alone"))
-    rarest = rarest.join(alone, "id", "left").where(F.col("rank") + F.coalesce("alone", F.lit(0)) <= F.col("enough")).select("id", "h")
-    found = rarest.join(tokens, "h").where(F.col("id") != F.col("other")).select("id", "other", "n").distinct()
-    sizes = sets.select("id", (F.length("hashes") / 8).cast("long").alias("m"))
-    found = found.join(sizes, "id").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    own = held.withColumn("rank", rank).where("rank <= enough and held > 1").select("id", "m", "most", "h")
+    leads = own.union(any_.select("id", "m", "most", "h")).alias("l")
+    possible = (F.col("l.id") != F.col("t.other")) & (F.col("t.n") <= F.col("l.most")) & (100 * F.col("t.n") >= percent * F.col("l.m"))
+    found = leads.join(tokens.alias("t"), (F.col("l.h") == F.col("t.h")) & possible)
     found = found.select(F.least("id", "other").alias("centre"), F.greatest("id", "other").alias("member")).distinct()
     tested = done.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
     return materialize(found.join(tested, ["centre", "member"], "left_anti"), "pairs")
