@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -165,6 +166,12 @@ def _document_counts(rows: DataFrame, wanted: frozenset[str] | None, least: int)
     return {r["term"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
+def learn_lexicon_seeds() -> Lexicon:
+    """The seeds alone."""
+    weights = {symbol: SEED_WEIGHT if symbol in (INSULT, THREAT) else 0.0 for symbol in SEEDS}
+    return Lexicon({w: (symbol, weights[symbol]) for symbol, ws in SEEDS.items() for w in ws}, {})
+
+
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """Seeds, and the words and stems that set toxic training documents apart.
 
@@ -174,11 +181,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     """
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    words = {w: (symbol, SEED_WEIGHT if symbol in (INSULT, THREAT) else 0.0) for symbol, ws in SEEDS.items() for w in ws}
+    words = learn_lexicon_seeds().words
     stems: dict[str, tuple[str, float]] = {}
     if toxic and other:
-        import math
-
         least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
         held = _document_counts(train.where("toxic = 1"), None, least)
         against = _document_counts(train.where("toxic = 0"), frozenset(held), 1)
