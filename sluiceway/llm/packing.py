@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from sluiceway.llm.shingles import WordHasher, mix
 from sluiceway.operators.ordering import running_totals
@@ -93,8 +95,6 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
@@ -131,10 +131,6 @@ class Encoder:
 
 def _ranked(path: str):
     """An encoding function for a byte-level file whose ids are in merge order, else None."""
-    try:
-        import tiktoken
-    except ImportError:
-        return None
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     if model.get("normalizer") or model["pre_tokenizer"].get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
