@@ -40,7 +40,6 @@ TEMPLATES = [
     Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Template("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
