@@ -21,10 +21,11 @@ PARTIAL = T.StructType(
         T.StructField("put_shard", T.LongType()),
         T.StructField("payload", T.BinaryType()),
         T.StructField("del_ms", T.LongType()),
+        T.StructField("is_put", T.BooleanType()),
     ]
 )
 OUTPUT = T.StructType(
-    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard")]
+    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard", "is_put")]
     + [T.StructField("alive", T.BooleanType())]
 )
 
@@ -33,22 +34,25 @@ def _combine(batches):
     """The last put and the last delete per key and Arrow batch, each with its own time.
 
     A hot key so reaches its task pre-merged, and whether a row is late does
-    not depend on which others it was merged with.
+    not depend on which others it was merged with. A put without a time ranks
+    lowest, and a row without a time is never late.
     """
+    whole = pc.ScalarAggregateOptions(skip_nulls=False)
     for batch in batches:
-        t = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in ORDER])
+        t = pa.Table.from_batches([batch])
+        t = t.append_column("rank", pc.fill_null(t["ts_ms"], -(1 << 63))).sort_by([(c, "ascending") for c in ("rank", *ORDER[1:])])
         is_put = pc.equal(t["action"], "store")
-        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([(c, "last") for c in (*ORDER, "payload")])
-        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last")])
+        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([(c, "last", whole) for c in (*ORDER, "payload")])
+        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last", whole)])
         names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload"}
         for part, at in ((puts.rename_columns(names), "put_ms"), (dels.rename_columns({"ts_ms_last": "del_ms"}), "del_ms")):
-            part = part.append_column("newest_ms", part[at])
+            part = part.append_column("newest_ms", part[at]).append_column("is_put", pa.array([at == "put_ms"] * len(part), pa.bool_()))
             columns = [part[f.name] if f.name in part.column_names else pa.nulls(len(part)) for f in PARTIAL]
             yield from pa.table(columns, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
 
 
 class _KeyState(StatefulProcessor):
-    """Newest put, unless a delete hides it, and newest delete of one key."""
+    """Newest put, unless a delete hides it, newest delete of one key, and whether there ever was one."""
 
     def __init__(self, horizon_ms: int):
         self._horizon_ms = horizon_ms
@@ -56,43 +60,48 @@ class _KeyState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._kept = handle.getValueState(
-            "kept", "put_ms long, put_seq long, put_ord int, put_shard long, payload binary, del_ms long"
+            "kept", "put_ms long, put_seq long, put_ord int, put_shard long, payload binary, del_ms long, has_put boolean, deleted boolean"
         )
 
-    def _hidden(self, put_ms, del_ms) -> bool:
+    def _hidden(self, put_ms, del_ms, deleted) -> bool:
+        if put_ms is None:
+            return deleted
         return del_ms is not None and put_ms <= del_ms + self._horizon_ms
 
+    @staticmethod
+    def _rank(put) -> tuple:
+        return (put[0] is not None, put[0] or 0, *put[1:4])
+
     def handleInputRows(self, key, rows, timerValues):
         old = self._kept.get()
-        put, tomb = (tuple(old[:5]), old[5]) if old else ((None,) * 5, None)
+        put, tomb, has_put, deleted = (tuple(old[:5]), *old[5:]) if old else ((None,) * 5, None, False, False)
         old_tomb = tomb
         for r in rows:
-            if r.put_ms is not None:
+            if r.is_put:
                 new = (r.put_ms, r.put_seq, r.put_ord, r.put_shard, r.payload)
-                if put[0] is None or new[:4] > put[:4]:
-                    put = new
+                if not has_put or self._rank(new) > self._rank(put):
+                    put, has_put = new, True
             if r.del_ms is not None and (tomb is None or r.del_ms > tomb):
                 tomb = r.del_ms
-        if put[0] is not None and self._hidden(put[0], tomb):
-            put = (None,) * 5  # later deletes only hide more
-        self._kept.update((*put, tomb))
+        deleted = deleted or tomb is not None
+        if has_put and self._hidden(put[0], tomb, deleted):
+            put, has_put = (None,) * 5, False  # later deletes only hide more
+        if has_put or deleted:
+            self._kept.update((*put, tomb, has_put, deleted))
         if tomb != old_tomb:
             if old_tomb is not None:
                 self._handle.deleteTimer(old_tomb + self._horizon_ms)
             self._handle.registerTimer(tomb + self._horizon_ms)
         yield Row(
             namespace=key[0], id=key[1], put_ms=put[0], put_seq=put[1], payload=put[4], del_ms=tomb,
-            alive=put[0] is not None,
+            alive=has_put,
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Past the horizon no later write can be hidden: forget the tombstone."""
+        """Past the horizon no later write with a time can be hidden: forget when, not that, the key was deleted."""
         kept = self._kept.get()
         if kept and kept[5] is not None and kept[5] + self._horizon_ms == expiredTimerInfo.getExpiryTimeInMs():
-            if kept[0] is None:
-                self._kept.clear()
-            else:
-                self._kept.update((*kept[:5], None))
+            self._kept.update((*kept[:5], None, *kept[6:]))
         return iter(())
 
     def close(self) -> None:
@@ -108,9 +117,11 @@ def keyed_state_stream(
     the JVM, merged per key before the shuffle, any row order, but tombstones
     stay in the state for good.
 
-    With it, rows need a time (others are not read), and a tombstone leaves the state once the horizon has passed. Rows may
+    With it, the time of a tombstone leaves the state once the horizon has passed. Rows with a time may
     then come at most ``lateness`` behind the newest one: a put later than that
-    could show again a key whose tombstone has expired.
+    could show again a key whose tombstone has expired. Rows without a time are
+    never late; as any delete hides such a put, however old, a flag of each
+    deleted key stays.
     """
     if lateness is None:
         alive = is_alive(F.col("put_at"), F.col("del_ms"), horizon_ms)
@@ -122,8 +133,7 @@ def keyed_state_stream(
             "del_ms",
             alive.alias("alive"),
         )
-    timed = F.col("action").isin("store", "delete") & F.col("ts_ms").isNotNull()
-    wanted = actions.filter(timed).select(
+    wanted = actions.filter(F.col("action").isin("store", "delete")).select(
         *KEY, *ORDER, "action", "payload"
     )
     combined = wanted.mapInArrow(_combine, PARTIAL).withColumn("at", F.timestamp_millis("newest_ms"))

@@ -178,3 +178,22 @@ def test_tombstones_expire(spark, tmp_path):
     latest = {r.id: r for r in batches.latest_updates(spark, out, ["namespace", "id"]).collect()}
     assert latest["a"].alive and latest["a"].del_ms is None
     assert bytes(latest["b"].payload) == b"y"
+
+
+def test_untimed_rows_in_an_expiring_stream(spark, tmp_path):
+    """Stores without a time equal the batch, whatever the watermark; a third of all rows have none."""
+    src, out, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    rows = [r[:2] + (None if r[3] % 3 == 0 else r[2],) + r[3:] for r in actions(240)]
+    rows += [("ns", "gone", 1, 900, 0, "delete", None, 0), ("ns", "only", None, 901, 0, "store", None, 0)]
+    late = [("ns", "new", None, 1_002, 0, "store", bytearray(b"n"), 0), ("ns", "gone", None, 1_003, 0, "store", bytearray(b"g"), 0), ("ns", "only", None, 1_004, 0, "delete", None, 0)]
+    steps = [rows, [("ns", "z", 50_000, 1_000, 0, "store", bytearray(b"z"), 0)], [("ns", "z", 60_000, 1_001, 0, "store", bytearray(b"y"), 0)], late]
+    for part in steps:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        run(keyed_state_stream(df, H, "1 second"), out, progress)
+    live = batches.latest_updates(spark, out, ["namespace", "id"]).filter("alive")
+    seen = lambda df, ms: sorted((r.id, r[ms] or 0, r[ms] is None, r.payload and bytes(r.payload)) for r in df.collect())
+    want = state.keyed_state(spark.createDataFrame(sum(steps, []), SCHEMA), H)
+    got = seen(live, "put_ms")
+    assert got == seen(want, "ts_ms") and any(untimed for _, _, untimed, _ in got)
+    assert {"new", "only"} <= {g[0] for g in got} and "gone" not in {g[0] for g in got}
