@@ -113,6 +113,26 @@ def test_fuzzy_lines(spark, documents):
     assert right >= 0.99 * len(texts)  # buckets may miss a pair
 
 
+def edited(rng, line, alphabet):
+    at = rng.randrange(len(line))
+    return line[:at] + rng.choice(alphabet) + line[at + rng.randint(0, 1) :]
+
+
+def test_like_lines_of_any_length_meet(spark):
+    rng = random.Random(5)
+    han = "".join(map(chr, range(0x4E00, 0x4F00)))
+    lines = ["Advertisement 12", "Advertisement 13", "Read more on page 12", "Read more on page 13", "-- == -- == --", "-- == -- == -- =", "\U0001F600" * 9, "\U0001F600" * 12]
+    for words in [1, 2, 4, 6, 10, 20, 50] * 30:
+        line = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(words)) if rng.random() < 0.8 else "".join(rng.choices(han, k=5 * words))
+        lines.append(line)
+        for _ in range(rng.randint(1, 3)):
+            lines.append(line := edited(rng, line, "etaoinshr 0123"))
+    texts = dict(enumerate(lines))
+    keep = lines_brute(texts)
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("n_removed = 0").collect()}
+    assert got == {i for i, _ in keep} | {i for i, t in texts.items() if not t.strip(BLANKS)}
+
+
 def test_exact_lines_keep_the_first(spark):
     rows = [(2, "Keep me\n\n Same line here "), (1, "Same line here\nKeep me not at all\nSame line here")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
