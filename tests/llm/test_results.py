@@ -133,6 +133,23 @@ def test_like_lines_of_any_length_meet(spark):
     assert got == {i for i, _ in keep} | {i for i, t in texts.items() if not t.strip(BLANKS)}
 
 
+def test_clusters_of_one_bucket(spark, monkeypatch):
+    """All lines in one bucket: its many clusters keep their links, chains beside the centre too."""
+    rng = random.Random(3)
+    # Least (first) the centre; "middle" links to it and to "far", which does not.
+    base = "".join(rng.choices("abcdefghijklmnop ", k=60))
+    middle = base[:-5] + "QRSTU"
+    lines = [base, middle, middle[:-12] + "VW" + middle[-10:]]
+    for _ in range(12):
+        line = "".join(rng.choices("abcdefghijklmnop ", k=60)) + " ."
+        lines += [line, line[:-1] + "!"]
+    whole = line_dedup._keys
+    monkeypatch.setattr(line_dedup, "_keys", lambda d: whole(d).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    texts = dict(enumerate(lines))
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("n_removed = 0").collect()}
+    assert got == {i for i, _ in lines_brute(texts)} and len(got) == 13
+
+
 def test_exact_lines_keep_the_first(spark):
     rows = [(2, "Keep me\n\n Same line here "), (1, "Same line here\nKeep me not at all\nSame line here")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
