@@ -46,7 +46,7 @@ TEMPLATES = [
     Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
 
-# Rare words of a template that are looked up, and the share of its words that must stand in place.
+# Rare words of a key phrase that are looked up, and the share of a template's words that must stand in place.
 ANCHORS = 2
 LEAST = 0.6
 
@@ -84,12 +84,12 @@ def licence_scan(
     """Licence labels of every whole text.
 
     How many texts hold each licence word is counted over the corpus. The
-    ``anchors`` rarest words of each phrase and template are its index entries.
-    A text's licence words that are anchors are looked up; each posting tells
-    where the template would start. A phrase is found where all its anchors
-    agree on the start and all its words follow. A template is found where
-    two anchors (or the only one) agree within its length, at least the share
-    ``least`` of its words stand in place, and its key phrase stands whole.
+    ``anchors`` rarest words of each phrase, and of each template's key phrase,
+    are its index entries; a match cannot lack any of them. A text's licence
+    words that are anchors are looked up; each posting tells where the template
+    would start. A phrase is found where all its words follow, a template where
+    its key phrase stands whole and at least the share ``least`` of its words
+    stand in place, whichever the others are.
 
     Returns ``id``, n_words, n_base (places of phrases), first_word and
     last_word (least and largest start), base_labels, labels (distinct, sorted,
@@ -100,11 +100,11 @@ def licence_scan(
     entries = [(label, p, p, True) for label, p in phrases] + [(t.label, t.text, t.key, False) for t in templates]
     counts = word_counts(docs, text, _vocabulary(templates, phrases))
     rare: list[list[str]] = []
-    for _, body, _, _ in entries:
-        words = list(dict.fromkeys(body.split()))
+    for _, _, key, _ in entries:
+        words = list(dict.fromkeys(key.split()))
         rare.append(sorted(words, key=lambda w: (counts.get(w, 0), w))[:anchors])
-    # A match needs two anchors (or the only one), so all but the last of an entry must not be missing.
-    first = sorted({w for words in rare for w in words[: max(1, len(words) - 1)]})
+    # A match needs all anchors, the rarest among them.
+    first = sorted({words[0] for words in rare})
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(id).alias("_id"), body.alias("_text"))
     words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
@@ -142,9 +142,10 @@ KIND = "array<struct<label:string,start:bigint,share:double,base:boolean>>"
 
 def _places(label: str, body: list[str], key: list[str], base: bool, rare: list[str], least: float) -> Column:
     """Where one phrase or template stands, as an array of (label, start, share, base)."""
-    positions = {w: [i for i, x in enumerate(body) if x == w] for w in rare}
-    # Starts that each posting of each anchor proposes; those on which the anchors agree.
-    proposed = F.concat(*[_postings(w, p) for w in rare for p in positions[w]])
+    at = next(k for k in range(len(body)) if body[k : k + len(key)] == key)
+    positions = {w: [at + i for i, x in enumerate(key) if x == w] for w in rare}
+    # Starts that the postings of the rarest anchor propose; those on which the anchors agree.
+    proposed = F.concat(*[_postings(w, p) for w in rare[:1] for p in positions[w]])
     starts = F.filter(F.array_distinct(proposed), lambda s: _agrees(s, positions))
     in_place = lambda s: sum((F.coalesce(F.get("_words", s + F.lit(k)) == w, F.lit(False)).cast("int") for k, w in enumerate(body)), F.lit(0))
     scored = F.transform(
@@ -152,7 +153,6 @@ def _places(label: str, body: list[str], key: list[str], base: bool, rare: list[
     )
     if base:
         return F.filter(scored, lambda m: m["share"] == 1.0).cast(KIND)
-    at = next(k for k in range(len(body)) if body[k : k + len(key)] == key)
     whole = lambda s: [F.coalesce(F.get("_words", s.cast("int") + F.lit(at + k)) == w, F.lit(False)) for k, w in enumerate(key)]
 
     def verified(m: Column) -> Column:
@@ -169,9 +169,9 @@ def _postings(word: str, position: int) -> Column:
 
 
 def _agrees(start: Column, positions: dict[str, list[int]]) -> Column:
-    """Whether at least two anchors (all, if fewer) stand where a template starting there has them."""
+    """Whether all anchors stand where a template starting there has them."""
     hits = [
         sum((F.coalesce(F.get("_words", start + F.lit(p)) == w, F.lit(False)).cast("int") for p in at), F.lit(0)) > 0
         for w, at in positions.items()
     ]
-    return sum((h.cast("int") for h in hits), F.lit(0)) >= min(2, len(positions))
+    return sum((h.cast("int") for h in hits), F.lit(0)) >= len(positions)

@@ -208,6 +208,14 @@ def test_licences(spark, documents):
     assert got[903].labels == "gpl-3" and got[903].base_labels == "" and 0.6 <= got[903].score < 1
 
 
+def test_licences_need_no_word_outside_the_key(spark):
+    """However rare a word is that a variant lacks, and however frequent those of the key phrase."""
+    variant = "this program is licensed under the gnu general public license version 3"
+    rows = [(i, f"text {i} {variant} only") for i in range(5)] + [(5, "this work is mine"), (6, "the gnu general public license version 3"), (7, variant.replace("gnu", "new"))]
+    got = {r.doc_id: (r.labels, r.score) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("gpl-3", 11 / 12) if i < 5 else ("", 0.0) for i in range(8)}
+
+
 def test_shards(spark, documents, tmp_path):
     df, texts = documents
     out = sharding.shard(df, bucket_rows=16)
