@@ -330,6 +330,13 @@ def test_url_rules(spark):
         assert (host, path, rule) == want[:3] and verdict == (want[3] or verdict) and verdict in ("allow", "block")
 
 
+def test_line_stage_keeps_own_lines(spark, sf_dir):
+    shared = "\n".join(f"A shared line of some length, number {i} {'x' * i}{i * 7919}" for i in range(9))
+    rows = [(1, shared), (2, shared + "\nOwn words."), (3, shared), (4, "\n"), (5, None)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    assert set(got) == {1, 2, 4, 5} and got[2].strip() == "Own words."
+
+
 def test_pipeline_stages_take_effect(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs.count()
