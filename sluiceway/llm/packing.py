@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -90,31 +89,38 @@ class Encoder:
     The byte-level pre-tokenizer always cuts before a space that a visible
     character follows, so the pieces between such spaces encode on their own.
     Latin pieces go to the faster of two libraries where the file's merges are
-    in the order of its ids, as both then give the same ids.
+    in the order of its ids, as both then give the same ids. Texts that hold
+    the string of a special token go to the file's own library whole, unless
+    ``plain`` makes those strings ordinary text. ``end`` is the id that closes
+    a text, if any.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end: int | None = END, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = None if plain or not added else re.compile("|".join(map(re.escape, added)))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.fast = _ranked(path)
+        self.end = b"" if end is None else array(self.code, [end]).tobytes()
         self.words: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text is for the file's own library."""
+        return self.fast is None or bool(FOREIGN.search(text) or (self.special and self.special.search(text)))
+
+    def ids(self, text: str) -> list[int]:
+        """Token ids of one text, nothing kept."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids if self._whole(text) else self.fast(text)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if self.fast is None or FOREIGN.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = self.fast(text)
-            out.append(array(self.code, ids).tobytes())
-        return out
+        return [array(self.code, self.ids(text)).tobytes() for text in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        end = array(self.code, [END]).tobytes()
-        split = [None if JOINED.search(t) else t.split(" ") for t in texts]
+        end, special = self.end, self.special
+        split = [None if JOINED.search(t) or (special and special.search(t)) else t.split(" ") for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words
@@ -131,6 +137,8 @@ class Encoder:
 
 def _ranked(path: str):
     """An encoding function for a byte-level file whose ids are in merge order, else None."""
+    import tiktoken
+
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     if model.get("normalizer") or model["pre_tokenizer"].get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
@@ -147,15 +155,15 @@ def _ranked(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
-def _encoder(path: str) -> Encoder:
+def worker_encoder(path: str, end: int | None = END, plain: bool = False) -> Encoder:
     """The worker process's encoder: loaded once, not once a task."""
     store = sys.modules.setdefault("sluiceway_worker", types.ModuleType("sluiceway_worker"))
-    if getattr(store, "path", None) != path:
-        store.encoder, store.path = Encoder(path), path
+    if getattr(store, "made", None) != (path, end, plain):
+        store.encoder, store.made = Encoder(path, end, plain), (path, end, plain)
     return store.encoder
 
 
-def _in_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def in_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         if group and size + len(text) > most:
@@ -169,11 +177,11 @@ def _in_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
 
 def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, hasher, signs = _encoder(path), WordHasher(), projection(BUCKETS, DIMENSIONS)
+        encoder, hasher, signs = worker_encoder(path), WordHasher(), projection(BUCKETS, DIMENSIONS)
         width = encoder.width
         for batch in batches:
             ids, texts, done = batch.column(0), batch.column(1).to_pylist(), 0
-            for group in _in_groups([t or "" for t in texts]):
+            for group in in_groups([t or "" for t in texts]):
                 tokens = encoder(group)
                 words = list(hasher.texts([t.encode("utf-8", "surrogatepass").lower() for t in group]))
                 yield pa.RecordBatch.from_arrays(

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sluiceway.llm import decontaminate, html_diff, licences, line_dedup, near_dedup, quality, sharding, toxicity, url_filter
+import public_tokenizers
+from sluiceway.llm import alignment, best_fit, decontaminate, html_diff, licences, line_dedup, near_dedup
+from sluiceway.llm import quality, sharding, toxicity, url_filter, whitening
 from sluiceway.llm.oracles import ORACLES
+from sluiceway.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +115,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between both tokenizers' tokens of every document, and how frequent they are."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    slim = aligned.select("doc_id", "n_a", "n_b", "n_links", digest.alias("groups_sha256"), "pairs", "times")
+    counts = ["doc_id", "n_a", "n_b", "n_links", "groups_sha256"]
+    scored = alignment.score_links(materialize(slim, "aligned", compression="zstd"), counts)
+    return scored.withColumn("n_groups", F.col("n_links"))
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in few sequences."""
+    pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents through all stages of the corpus pipeline."""
