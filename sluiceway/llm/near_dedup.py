@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.pairs import with_both
+from sluiceway.llm.search import search_links
 from sluiceway.llm.shingles import WordHasher, mix, shingle_hashes
 from sluiceway.session import materialize
 
@@ -81,11 +82,15 @@ def _signed(width: int, bands: int, rows: int):
 
 
 def _hashed(width: int):
+    """Whole sets of the rows whose set has the wanted digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             found = [h.tobytes() for h in _sets(batch, hasher, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
+            wanted = batch.column(2).to_pylist()
+            keep = pa.array([hashlib.blake2b(f, digest_size=16).digest() == w for f, w in zip(found, wanted)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"]).filter(keep)
 
     return run
 
@@ -164,44 +169,46 @@ def near_duplicates(
     members meet one centre, the one that the most other buckets share, so a
     bucket of n gives n - 1 pairs. Members in another component than their
     centre are searched exactly: a partner must hold some of the shingles that
-    such a document does not share with its centre, and a join on the rarest of
-    those gives the remaining pairs. Every link is confirmed on full sets.
+    such a document does not share with its centre. The holders of the rarest
+    of those are compared in rounds, and only across components (see
+    ``search_links``). Every link is confirmed on full sets.
 
     Returns ``id``, n_shingles, component_id (the smallest id reachable) and
     kept (whether it is the document itself). Empty and null texts have no
     shingles and link to nothing. Ids are integers and should be distinct;
-    rows that repeat an id are one document, with the text of one of them, and
+    rows that repeat an id are one document, with the set of least digest, and
     come out once. Rows with a null id come out with a null component, kept.
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     schema = "id long, n long, digest binary, keys array<bigint>"
     signed = materialize(source.mapInArrow(_signed(width, bands, rows), schema), "signatures")
     named = signed.where(F.col("id").isNotNull())
-    first = named.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
+    # A repeated id stands for the least of its digests, an empty set only if it has no other.
+    one = named.groupBy("id").agg(F.min(F.struct(F.col("digest").isNull(), "digest", "n")).alias("of")).select("id", "of.n", "of.digest")
+    one = materialize(one, "ids")
+    first = one.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
     first = materialize(first, "sets")
     reps = named.join(first.select(F.col("rep").alias("id"), F.col("digest").alias("held")), "id").where(F.col("digest") == F.col("held"))
     exploded = reps.select("id", F.explode("keys").alias("key"))
     crowded = exploded.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("key")
     members = materialize(exploded.join(crowded, "key").select("key", "id"), "members")
 
-    ids = members.select("id").distinct()
-    sets = materialize(source.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_hashed(width), "id long, hashes binary"), "sets")
+    ids = members.select("id").distinct().join(first.select(F.col("rep").alias("id"), "digest"), "id")
+    hashed = source.join(ids, "id").mapInArrow(_hashed(width), "id long, hashes binary")
+    sets = materialize(hashed.dropDuplicates(["id"]), "sets")
     centres = _centres(members)
     done = _compare(_stars(members, centres), sets, percent, "star")
     parts = connected_components(done.where("linked"), "centre", "member")
 
     outside = _outsiders(members, centres, parts)
     if not outside.isEmpty():
-        rest = _searched(outside, done, members, sets, percent)
-        if not rest.isEmpty():
-            done = done.union(_compare(rest, sets, percent, "rest"))
-            parts = connected_components(done.where("linked"), "centre", "member")
+        parts = _searched(outside, done, members, sets, parts, percent)
 
     classes = first.join(parts, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
-    one = named.dropDuplicates(["id"]).union(signed.where(F.col("id").isNull()))
-    out = one.select("id", "n", "digest").join(classes, "digest", "left")
+    every = one.union(signed.where(F.col("id").isNull()).select("id", "n", "digest"))
+    out = every.join(classes, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id),
@@ -219,8 +226,8 @@ def _outsiders(members: DataFrame, centres: DataFrame, parts: DataFrame) -> Data
     return materialize(placed.join(cores, "key").where(F.col("part") != F.col("core")).select("key", "id"), "outside")
 
 
-def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may still link an outsider to another member of its buckets.
+def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(node, component) after outsiders have been linked to other members of their buckets.
 
     An outsider has failed against a centre; what leads to its partners comes
     from its closest comparison (see ``_compared``), the rarest shingles first.
@@ -242,12 +249,11 @@ def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: Dat
     held = own.join(tokens.groupBy("h").agg(F.count("*").alias("held")), "h")
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))  # one document's shingles
     own = held.withColumn("rank", rank).where("rank <= enough and held > 1").select("id", "m", "most", "h")
-    leads = own.union(any_.select("id", "m", "most", "h")).alias("l")
-    possible = (F.col("l.id") != F.col("t.other")) & (F.col("t.n") <= F.col("l.most")) & (100 * F.col("t.n") >= percent * F.col("l.m"))
-    found = leads.join(tokens.alias("t"), (F.col("l.h") == F.col("t.h")) & possible)
-    found = found.select(F.least("id", "other").alias("centre"), F.greatest("id", "other").alias("member")).distinct()
+    leads = materialize(own.union(any_.select("id", "m", "most", "h")), "leads")
+    possible = (F.col("n") <= F.col("most")) & (100 * F.col("n") >= percent * F.col("m"))
     tested = done.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
-    return materialize(found.join(tested, ["centre", "member"], "left_anti"), "pairs")
+    compare = lambda pairs: _compare(pairs, sets, percent, "rest").where("linked").select("centre", "member")
+    return search_links(leads, tokens, tested, parts, possible, compare)
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
