@@ -100,7 +100,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = None if plain or not added else re.compile("|".join(map(re.escape, added)))
+        self.special = [] if plain else added
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.fast = _ranked(path)
@@ -109,7 +109,7 @@ class Encoder:
 
     def _whole(self, text: str) -> bool:
         """Whether a text is for the file's own library."""
-        return self.fast is None or bool(FOREIGN.search(text) or (self.special and self.special.search(text)))
+        return self.fast is None or bool(FOREIGN.search(text)) or any(s in text for s in self.special)
 
     def ids(self, text: str) -> list[int]:
         """Token ids of one text, nothing kept."""
@@ -120,7 +120,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         end, special = self.end, self.special
-        split = [None if JOINED.search(t) or (special and special.search(t)) else t.split(" ") for t in texts]
+        split = [None if JOINED.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words

@@ -34,7 +34,8 @@ def groups(items, linked):
 @pytest.fixture(scope="module")
 def documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
-    return df, {r.doc_id: r.text for r in df.collect()}
+    yield df, {r.doc_id: r.text for r in df.collect()}
+    df.unpersist()
 
 
 def test_components_of_chains_and_stars(spark):
