@@ -5,6 +5,8 @@ Each batch overwrites its own folder, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -24,6 +26,15 @@ def committed_batches(spark: SparkSession, path: str, name: str = "batch") -> li
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
 
 
+def remove(spark: SparkSession, pattern: str, which: Callable[[str], bool]) -> None:
+    """Delete the folders that match ``pattern`` and whose name ``which`` picks."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(found) or []:
+        if which(status.getPath().getName()):
+            files.delete(status.getPath(), True)
+
+
 def read_batches(
     spark: SparkSession, path: str, after: int = -1, schema: str | None = None
 ) -> DataFrame | None:

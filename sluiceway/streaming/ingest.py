@@ -10,6 +10,7 @@ from sluiceway.functions.payload import merge_timestamp
 from sluiceway.operators.admission import DEFAULT_MAX_BODY, classify_requests, inflate_admitted
 from sluiceway.operators.messages import to_messages
 from sluiceway.operators.replay import replay_plan
+from sluiceway.operators.state import refuse_unsaltable
 from sluiceway.operators.validation import DEFAULT_MAX_VALUE, Validator, gate_operations, is_oversized
 from sluiceway.sinks.archive import write_archive
 from sluiceway.sinks.batches import batch_path, write_batch
@@ -104,6 +105,8 @@ def write_outputs(
     many tasks as keep each near ``task_rows`` rows even if the day holds the
     whole batch.
     """
+    # What allows no row key is refused before the outputs part, so that it reaches the quarantine.
+    rows = refuse_unsaltable(rows, (F.col("route") == "state_salted") & F.col("reason").isNull())
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         known = file_writers(path, spread=1 + rows.count() // task_rows) | (writers or {})
@@ -122,6 +125,7 @@ def _start(
     task_rows: int,
     writers: dict[str, Writer] | None,
     compact_every: int,
+    lateness_ms: int | None,
 ) -> StreamingQuery:
     check_routes(routes, file_writers(path) | (writers or {}))
     used = set(routes.values())
@@ -131,7 +135,7 @@ def _start(
         if compact_every and batch_id % compact_every == compact_every - 1:
             for name, mode in (("state", "plain"), ("state_salted", "salted")):
                 if name in used:
-                    compact_state(df.sparkSession, f"{path}/{name}", key_mode=mode)
+                    compact_state(df.sparkSession, f"{path}/{name}", lateness_ms=lateness_ms, key_mode=mode)
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -148,13 +152,16 @@ def run_ingest(
     task_rows: int = TASK_ROWS,
     writers: dict[str, Writer] | None = None,
     compact_every: int = 0,
+    lateness_ms: int | None = None,
     **settings,
 ) -> StreamingQuery:
     """Start the stream of requests; ``settings`` as for ``prepare``. Its progress is kept below ``path``.
 
-    ``writers`` adds sinks by name. Every ``compact_every`` batches the state is compacted.
+    ``writers`` adds sinks by name. Every ``compact_every`` batches the state is
+    compacted; ``lateness_ms`` says how late rows may come, so that compaction
+    can forget the times of old deletes.
     """
-    return _start(prepare(requests, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every)
+    return _start(prepare(requests, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms)
 
 
 def run_consumer(
@@ -164,8 +171,9 @@ def run_consumer(
     task_rows: int = TASK_ROWS,
     writers: dict[str, Writer] | None = None,
     compact_every: int = 0,
+    lateness_ms: int | None = None,
     **settings,
 ) -> StreamingQuery:
     """Start the stream of decoded log messages; ``settings`` as for ``dispatch``, the rest as for ``run_ingest``."""
-    return _start(dispatch(messages, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every)
+    return _start(dispatch(messages, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms)
 

@@ -124,7 +124,7 @@ def keyed_state_stream(
     deleted key stays.
     """
     if lateness is None:
-        alive = is_alive(F.col("put_at"), F.col("del_ms"), horizon_ms)
+        alive = is_alive(F.col("put_at"), F.col("del_ms"), F.col("deleted"), horizon_ms)
         return partial_state(actions).select(
             *KEY,
             F.col("put_at.ts_ms").alias("put_ms"),

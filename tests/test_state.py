@@ -81,11 +81,81 @@ def test_compaction_forgets_deleted_payloads_and_spent_deletes(spark, tmp_path):
     ]
     state_table.upsert_state(spark.createDataFrame(rows, SCHEMA), path, 0)
     state_table.compact_state(spark, path, lateness_ms=day)
-    base = spark.read.parquet(f"{path}/base/batch=0")
-    assert sorted((r.id, r.payload and bytes(r.payload), r.del_ms) for r in base.collect()) == [("here", b"kept", None), ("late", None, 29 * day)]
+    base = spark.read.parquet(f"{path}/segments/segment={state_table.segments(spark, path)[0].segment}")
+    assert sorted((r.id, r.payload and bytes(r.payload), r.del_ms, r.deleted) for r in base.collect()) == [
+        ("gone", None, None, True), ("here", b"kept", None, False), ("late", None, 29 * day, True),
+    ]
     assert [r.id for r in state_table.read_state(spark, path).collect()] == ["here"]
 
 
+def test_compaction_keeps_deletes_of_untimed_puts(spark, tmp_path):
+    """An untimed put stays hidden by a delete whose time is forgotten, with or without compaction."""
+    day = 86_400_000
+    first = [("ns", "a", 1, 1, 0, "delete", None, 0), ("ns", "b", 40 * day, 2, 0, "store", bytearray(b"b"), 0)]
+    then = [("ns", "a", None, 3, 0, "store", bytearray(b"a"), 0), ("ns", "c", None, 4, 0, "store", bytearray(b"c"), 0)]
+    for compact in (False, True):
+        path = str(tmp_path / f"state{compact}")
+        state_table.upsert_state(spark.createDataFrame(first, SCHEMA), path, 0)
+        if compact:
+            state_table.compact_state(spark, path, lateness_ms=day)
+        state_table.upsert_state(spark.createDataFrame(then, SCHEMA), path, 1)
+        assert sorted(r.id for r in state_table.read_state(spark, path).collect()) == ["b", "c"]
+
+
+def test_segments_merge_by_tiers_and_retire(spark, tmp_path):
+    rows, path = actions(420), str(tmp_path / "state")
+    for i in range(10):
+        state_table.upsert_state(spark.createDataFrame(rows[i::10], SCHEMA), path, i, buckets=8, fanout=3)
+        assert rows_of(state_table.read_state(spark, path, H)) == brute([r for k in range(i + 1) for r in rows[k::10]], H)
+    assert [s.tier for s in state_table.segments(spark, path)] == [2, 0]
+    # Only segments of the last two manifests are left, however many batches there were.
+    assert len(list((tmp_path / "state" / "segments").iterdir())) <= 4 and len(list((tmp_path / "state" / "manifest").iterdir())) <= 2
+
+
+def test_point_reads_touch_one_bucket(spark, tmp_path):
+    rows, path = actions(), str(tmp_path / "state")
+    for i in range(3):
+        state_table.upsert_state(spark.createDataFrame(rows[i::3], SCHEMA), path, i, buckets=16)
+    whole, want = state_table.read_state(spark, path, H), brute(rows, H)
+    for doc in ("a0", "b01", "c11", "nowhere"):
+        one = state_table.read_id(spark, path, "ns", doc, H)
+        assert rows_of(one) == {d: v for d, v in want.items() if d == doc}
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan
+    folders = {f.split("bucket=")[1].split("/")[0] for f in whole.inputFiles()}
+    assert len(folders) > 8
+    # A small batch writes only its keys' buckets.
+    state_table.upsert_state(spark.createDataFrame(rows[:1], SCHEMA), path, 3, buckets=16, fanout=9)
+    last = state_table.segments(spark, path)[-1].segment
+    assert len([f for f in (tmp_path / "state" / "segments" / f"segment={last}").iterdir() if f.name.startswith("bucket=")]) <= 1
+
+
+def test_deletes_reach_salted_rows_on_files(spark, tmp_path):
+    day, path = 86_400_000, str(tmp_path / "state")
+    steps = [
+        [("ns", "ab", 1, 1, 0, "store", bytearray(b"1"), 0), ("ns", "ab", 9 * day, 2, 0, "store", bytearray(b"2"), 0)],
+        [("ns", "ab", 5, 3, 0, "delete", None, 0), ("ns", "zz", 1, 4, 0, "store", bytearray(b"3"), 0), (None, "ad", 1, 5, 0, "store", bytearray(b"4"), 0)],
+        [(None, "ad", 2, 6, 0, "delete", None, 0), (None, "ae", 1, 7, 0, "store", bytearray(b"5"), 0)],
+    ]
+    for i, part in enumerate(steps):
+        state_table.upsert_state(spark.createDataFrame(part, SCHEMA), path, i, "salted")
+    for again in (False, True):
+        read = lambda **o: sorted(r.seq for r in state_table.read_state(spark, path, key_mode="salted", **o).collect())
+        assert read() == [1, 2, 5, 7] and read(fix_deletes=True) == [2, 7]
+        df = spark.createDataFrame(sum(steps, []), SCHEMA)
+        assert read(fix_deletes=True) == sorted(r.seq for r in state.keyed_state(df, key_mode="salted", fix_deletes=True).collect())
+        assert [r.seq for r in state_table.read_id(spark, path, "ns", "ab", key_mode="salted", fix_deletes=True).collect()] == [2]
+        if not again:
+            state_table.compact_state(spark, path, key_mode="salted")
+
+
+def test_deletes_hide_null_namespaces_too(spark):
+    b = bytearray(b"x")
+    rows = [(None, "a", 1, 1, 0, "store", b, 0), (None, "a", 2, 2, 0, "delete", None, 0), (None, "b", 1, 3, 0, "store", b, 0), ("ns", "a", 1, 4, 0, "store", b, 0), ("ns", "a", None, 5, 0, "delete", None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.seq for r in state.drop_deleted(df, H).collect()) == [3, 4] == sorted(r.seq for r in state.keyed_state(df, H).collect())
+
+
 def test_salted_rows_escape_deletes_unless_fixed(spark):
     day = 86_400_000
     rows = [
@@ -117,7 +187,7 @@ def test_upserts_in_any_order_repeated_and_compacted(spark, tmp_path):
     assert rows_of(state_table.read_state(spark, path, H)) == brute(rows, H)
     state_table.compact_state(spark, path, H)
     state_table.compact_state(spark, path, H)
-    assert batches.committed_batches(spark, f"{path}/base") == [1, 3]
+    assert [s.last_batch for s in state_table.segments(spark, path)] == [3]
     assert rows_of(state_table.read_state(spark, path, H)) == brute(rows, H)
 
 
