@@ -10,7 +10,7 @@ from sluiceway.llm.components import connected_components
 from sluiceway.session import materialize
 
 # A round takes so many times as many members of a group as all before it, as a power of two.
-GROWTH = 3
+GROWTH = 5
 
 
 def with_part(df: DataFrame, id: str, parts: DataFrame, name: str) -> DataFrame:
