@@ -369,3 +369,16 @@ FROM marked WHERE corrupt OR action = 'invalid' OR starts_with(namespace, 'marke
 marked AS (SELECT *, seq % 50 = 0 AND ord = 0 AS corrupt FROM gated),
 whole AS (SELECT * FROM marked WHERE NOT corrupt)"""),
 }
+
+ORACLES["consume_redelivered"] = ORACLES["consume_e2e"]
+ORACLES["consume_salted_e2e"] = _sql("gated", f"""
+SELECT 'state' AS sink, namespace AS item, count(*) AS n FROM newest LEFT JOIN gone USING (namespace, id)
+WHERE deletes IS NULL OR ts_ms > del_ms + 604800000 GROUP BY ALL
+UNION ALL
+SELECT 'quarantine', CASE WHEN action = 'invalid' THEN 'json' ELSE 'unsaltable' END, count(*) FROM odd
+WHERE action = 'invalid' OR (action = 'store' AND ts_ms IS NOT NULL AND NOT ({_HAS_SALT})) GROUP BY ALL""", _ODD + f""",
+newest AS (SELECT DISTINCT namespace, id, day, max(ts_ms) AS ts_ms FROM (SELECT *, ts_ms // 86400000 AS day FROM odd
+  WHERE action = 'store' AND (ts_ms IS NULL OR {_HAS_SALT})) GROUP BY ALL),
+gone AS (SELECT namespace, id, max(ts_ms) AS del_ms, count(ts_ms) AS deletes FROM odd WHERE action = 'delete' GROUP BY ALL HAVING count(ts_ms) > 0)""")
+# The batches of the stream come one after the other, each in log order.
+ORACLES["rolling_archive"] = ORACLES["file_roll_plan"].replace("ORDER BY seq, ord", "ORDER BY seq % 5, seq, ord")

@@ -23,7 +23,7 @@ from sluiceway.operators import (
 )
 from sluiceway.plans import fixtures as fx
 from sluiceway.session import configure, materialize, workspace
-from sluiceway.sinks import archive, batches, log, routing, state_table
+from sluiceway.sinks import archive, batches, log, rolling, routing, state_table
 from sluiceway.sources import envelope, kv_archive, messages as log_source, policy_file
 from sluiceway.streaming import ingest, metrics as live, state as live_state
 
@@ -707,3 +707,59 @@ def consume_e2e(spark, sf_dir):
     stream = envelope.decode_messages(arrivals(encoded, "envelopes", FIRST_MS + F.pmod(F.xxhash64("key"), F.lit(SLICES)) * SLICE_MS))
     ingest.run_consumer(stream, path, routes=ROUTES, validators=JSON, compact_every=2).awaitTermination()
     return _held(spark, path)
+
+
+def _in_slices(encoded: DataFrame, tag: str, also: DataFrame | None = None) -> DataFrame:
+    """Envelopes as a stream in which they arrive in no order, those of ``also`` once more in another slice."""
+    turn = lambda more: FIRST_MS + F.pmod(F.xxhash64("key") + more, F.lit(SLICES)) * SLICE_MS
+    rows = encoded.withColumn("_at", turn(0))
+    again = None if also is None else also.withColumn("_at", turn(2))
+    return arrivals(rows, tag, F.col("_at"), redelivered=again).drop("_at")
+
+
+@query
+def consume_redelivered(spark, sf_dir):
+    """What the sinks hold after a log with messages delivered again, in another batch and in the same one."""
+    path = workspace(spark, "consume-once")
+    encoded = envelope.encode_messages(fx.messages(spark, sf_dir))
+    corrupt = (F.col("seq") % 50 == 0) & (F.col("ord") == 0)
+    encoded = encoded.withColumn("value", F.when(corrupt, F.unhex(F.lit("FFFF"))).otherwise(F.col("value")))
+    again = encoded.filter("seq % 20 = 0").union(encoded.filter("seq % 60 = 0"))
+    stream = envelope.decode_messages(_in_slices(encoded, "delivered", again))
+    ingest.run_consumer(stream, path, routes=ROUTES, validators=JSON, once=True).awaitTermination()
+    return _held(spark, path)
+
+
+@query
+def consume_salted_e2e(spark, sf_dir):
+    """Every message in exactly one output of a salted table: its rows after all deletes, and what was refused."""
+    path = workspace(spark, "consume-salted")
+    s = F.col("seq")
+    odd = fx.messages(spark, sf_dir).withColumns(
+        {"id": F.when(s % 31 == 0, F.concat(F.lit("zz"), s)).otherwise(F.col("id")), "ts_ms": F.when(s % 7 != 0, F.col("ts_ms"))}
+    )
+    stream = arrivals(odd, "odd", FIRST_MS + F.pmod(s, F.lit(SLICES)) * SLICE_MS)
+    ingest.run_consumer(stream, path, routes={".+": "state_salted"}, validators=JSON, compact_every=3).awaitTermination()
+    live_rows = state_table.read_state(spark, f"{path}/state_salted", key_mode="salted", fix_deletes=True)
+    refused = batches.read_batches(spark, f"{path}/quarantine")
+    rows = live_rows.groupBy("namespace").agg(n_rows()).select(F.lit("state").alias("sink"), F.col("namespace").alias("item"), "n")
+    return rows.unionByName(refused.groupBy("reason").agg(n_rows()).select(F.lit("quarantine").alias("sink"), F.col("reason").alias("item"), "n"))
+
+
+@query
+def rolling_archive(spark, sf_dir):
+    """Files of an archive that rolls by size, read back after a stream whose batches share each day's files."""
+    path = workspace(spark, "rolling")
+    puts = gated(spark, sf_dir).filter("action = 'store'").select("namespace", "id", "ts_ms", "shard", "seq", "ord", "action", "payload")
+    stream = arrivals(puts, "rolled", FIRST_MS + F.pmod(F.col("seq"), F.lit(SLICES)) * SLICE_MS)
+    run = (
+        stream.writeStream.foreachBatch(lambda df, i: rolling.write_rolling(df, path, i, fx.ROLL_BYTES // 4))
+        .option("checkpointLocation", workspace(spark, "rolling-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    files = rolling.read_rolling(spark, path)
+    return files.groupBy("namespace", "ds", "shard", "file_no").agg(
+        n_rows(), F.sum(batching.record_bytes(F.col("key"), F.col("value"))).cast("long").alias("n_bytes"), F.min("seq").alias("first_seq")
+    )

@@ -11,8 +11,8 @@ DEFAULT_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
 ARCHIVE = "key string, value binary, namespace string, ds string"
 
 
-def archive_rows(actions: DataFrame, date_by: str = "event", date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """(namespace, ds, key, value) of the stores; an archive ignores deletes.
+def archive_rows(actions: DataFrame, date_by: str = "event", date_format: str = "yyyy-MM-dd", more: list[str] | None = None) -> DataFrame:
+    """(namespace, ds, key, value), and ``more``, of the stores; an archive ignores deletes.
 
     Stores without an event time go to the day ``undated``.
     """
@@ -24,6 +24,7 @@ def archive_rows(actions: DataFrame, date_by: str = "event", date_format: str =
         F.coalesce(F.date_format(at, date_format), F.lit("undated")).alias("ds"),
         F.col("id").alias("key"),
         F.col("payload").alias("value"),
+        *(more or []),
     )
 
 

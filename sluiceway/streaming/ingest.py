@@ -14,7 +14,9 @@ from sluiceway.operators.state import refuse_unsaltable
 from sluiceway.operators.validation import DEFAULT_MAX_VALUE, Validator, gate_operations, is_oversized
 from sluiceway.sinks.archive import write_archive
 from sluiceway.sinks.batches import batch_path, write_batch
+from sluiceway.sinks.ledger import commit_ledger, drop_redelivered
 from sluiceway.sinks.log import publish_layout
+from sluiceway.sinks.rolling import ROLL_BYTES, write_rolling
 from sluiceway.sinks.routing import Writer, check_routes, route, write_routed
 from sluiceway.sinks.state_table import compact_state, upsert_state
 
@@ -62,11 +64,12 @@ def prepare(
     return dispatch(to_messages(classified, keep_rejected=True), routes, max_value, validators)
 
 
-def file_writers(path: str, spread: int | None = None, replay_to: str = "%k") -> dict[str, Writer]:
+def file_writers(path: str, spread: int | None = None, replay_to: str = "%k", roll_bytes: int = ROLL_BYTES) -> dict[str, Writer]:
     """Writers by name; each writes below its own folder, named by the batch id, so a retry overwrites it.
 
     state and state_salted: keyed tables. archive: by day; archive_stamped: the
-    message time in each JSON payload, what is no object left as it is. replay:
+    message time in each JSON payload, what is no object left as it is;
+    archive_rolling: by day and shard, in files that roll by size. replay:
     the plan to send stores again. log: messages by topic. records: payloads alone.
     """
 
@@ -84,6 +87,7 @@ def file_writers(path: str, spread: int | None = None, replay_to: str = "%k") ->
         "state_salted": lambda df, i: upsert_state(df, f"{path}/state_salted", i, "salted"),
         "archive": to_archive("archive", False),
         "archive_stamped": to_archive("archive_stamped", True),
+        "archive_rolling": lambda df, i: write_rolling(df, f"{path}/archive_rolling", i, roll_bytes),
         "replay": lambda df, i: write_batch(replay_plan(df, replay_to, deletes=True), f"{path}/replay", i),
         "log": lambda df, i: write_batch(publish_layout(df), f"{path}/log", i),
         "records": lambda df, i: write_batch(df.filter("action = 'store'").select("namespace", "payload"), f"{path}/records", i),
@@ -126,12 +130,19 @@ def _start(
     writers: dict[str, Writer] | None,
     compact_every: int,
     lateness_ms: int | None,
+    once: bool,
 ) -> StreamingQuery:
     check_routes(routes, file_writers(path) | (writers or {}))
     used = set(routes.values())
 
     def write(df: DataFrame, batch_id: int) -> None:
-        write_outputs(df, batch_id, path, task_rows, writers, used)
+        if once:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            write_outputs(drop_redelivered(df, f"{path}/ledger", batch_id), batch_id, path, task_rows, writers, used)
+            commit_ledger(df, f"{path}/ledger", batch_id)
+            df.unpersist()
+        else:
+            write_outputs(df, batch_id, path, task_rows, writers, used)
         if compact_every and batch_id % compact_every == compact_every - 1:
             for name, mode in (("state", "plain"), ("state_salted", "salted")):
                 if name in used:
@@ -153,15 +164,17 @@ def run_ingest(
     writers: dict[str, Writer] | None = None,
     compact_every: int = 0,
     lateness_ms: int | None = None,
+    once: bool = False,
     **settings,
 ) -> StreamingQuery:
     """Start the stream of requests; ``settings`` as for ``prepare``. Its progress is kept below ``path``.
 
     ``writers`` adds sinks by name. Every ``compact_every`` batches the state is
     compacted; ``lateness_ms`` says how late rows may come, so that compaction
-    can forget the times of old deletes.
+    can forget the times of old deletes. With ``once`` messages that are
+    delivered again, whenever and in whatever order, reach no sink a second time.
     """
-    return _start(prepare(requests, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms)
+    return _start(prepare(requests, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms, once)
 
 
 def run_consumer(
@@ -172,8 +185,9 @@ def run_consumer(
     writers: dict[str, Writer] | None = None,
     compact_every: int = 0,
     lateness_ms: int | None = None,
+    once: bool = False,
     **settings,
 ) -> StreamingQuery:
     """Start the stream of decoded log messages; ``settings`` as for ``dispatch``, the rest as for ``run_ingest``."""
-    return _start(dispatch(messages, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms)
+    return _start(dispatch(messages, **settings), path, settings["routes"], trigger, task_rows, writers, compact_every, lateness_ms, once)
 
