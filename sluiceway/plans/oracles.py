@@ -382,3 +382,14 @@ newest AS (SELECT DISTINCT namespace, id, day, max(ts_ms) AS ts_ms FROM (SELECT
 gone AS (SELECT namespace, id, max(ts_ms) AS del_ms, count(ts_ms) AS deletes FROM odd WHERE action = 'delete' GROUP BY ALL HAVING count(ts_ms) > 0)""")
 # The batches of the stream come one after the other, each in log order.
 ORACLES["rolling_archive"] = ORACLES["file_roll_plan"].replace("ORDER BY seq, ord", "ORDER BY seq % 5, seq, ord")
+ORACLES["keyed_state_stream_late"] = _sql("gated", """
+SELECT namespace, count(*) FILTER (WHERE NOT late) AS n_applied, count(*) FILTER (WHERE late) AS n_late, coalesce(max(n_alive), 0) AS n_alive
+FROM judged LEFT JOIN (SELECT namespace, count(*) AS n_alive FROM oddest LEFT JOIN gone USING (namespace, id)
+  WHERE deletes IS NULL OR ts_ms > del_ms + 604800000 GROUP BY ALL) USING (namespace) GROUP BY ALL""", _ODD + """,
+moved AS (SELECT *, coalesce(seq % 20 = 0 AND ts_ms < 1704067200000 + 3 * 6 * 86400000, false) AS last FROM odd WHERE action IN ('store', 'delete')),
+judged AS (SELECT *, coalesce(last AND ts_ms <= (SELECT max(ts_ms) FROM moved WHERE NOT last AND ts_ms < 1704067200000 + 4 * 6 * 86400000) - 6 * 86400000,
+  false) AS late FROM moved),
+oddest AS (SELECT * FROM judged WHERE action = 'store' AND NOT late QUALIFY row_number() OVER (PARTITION BY namespace, id
+  ORDER BY ts_ms DESC NULLS LAST, seq DESC, ord DESC, shard DESC) = 1),
+gone AS (SELECT namespace, id, max(ts_ms) AS del_ms, count(ts_ms) AS deletes FROM judged WHERE action = 'delete' AND NOT late
+  GROUP BY ALL HAVING count(ts_ms) > 0)""")

@@ -763,3 +763,19 @@ def rolling_archive(spark, sf_dir):
     return files.groupBy("namespace", "ds", "shard", "file_no").agg(
         n_rows(), F.sum(batching.record_bytes(F.col("key"), F.col("value"))).cast("long").alias("n_bytes"), F.min("seq").alias("first_seq")
     )
+
+
+@query
+def keyed_state_stream_late(spark, sf_dir):
+    """Per namespace: live keys, rows applied and rows refused as late, when some rows come in the last slice only."""
+    rows = _odd_stores(spark, sf_dir).filter("action in ('store', 'delete')")
+    rows = rows.select("namespace", "id", "ts_ms", "seq", "ord", "action", "payload", "shard")
+    late = (F.col("seq") % 20 == 0) & (F.col("ts_ms") < FIRST_MS + 3 * SLICE_MS)
+    at = F.when(late, FIRST_MS + (SLICES - 1) * SLICE_MS).otherwise(F.coalesce("ts_ms", F.lit(FIRST_MS)))
+    path = finished(live_state.keyed_state_stream(arrivals(rows, "late-actions", at), lateness=LATENESS), "late-state")
+    done = batches.read_batches(spark, path).groupBy("namespace").agg(
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("n_applied"),
+        F.coalesce(F.sum(F.when(F.col("reason") == "late", F.col("n"))), F.lit(0)).alias("n_late"),
+    )
+    alive = batches.latest_updates(spark, path, ["namespace", "id"]).filter("alive").groupBy("namespace").agg(n_rows().alias("n_alive"))
+    return done.join(alive, "namespace", "left").withColumn("n_alive", F.coalesce("n_alive", F.lit(0)))

@@ -52,10 +52,12 @@ def read_batches(
 
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key over all batches of an update-mode stream."""
+    """The newest row of each key over all batches of an update-mode stream; rows with a ``reason`` are no updates."""
     rows = read_batches(spark, path)
     if rows is None:
         raise ValueError(f"no finished batch below {path}")
+    if "reason" in rows.columns:
+        rows = rows.filter("reason is null")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return (
         rows.groupBy(*keys)

@@ -22,11 +22,12 @@ PARTIAL = T.StructType(
         T.StructField("payload", T.BinaryType()),
         T.StructField("del_ms", T.LongType()),
         T.StructField("is_put", T.BooleanType()),
+        T.StructField("n", T.LongType()),
     ]
 )
 OUTPUT = T.StructType(
-    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard", "is_put")]
-    + [T.StructField("alive", T.BooleanType())]
+    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard", "is_put", "n")]
+    + [T.StructField("alive", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("n", T.LongType())]
 )
 
 
@@ -35,20 +36,25 @@ def _combine(batches):
 
     A hot key so reaches its task pre-merged, and whether a row is late does
     not depend on which others it was merged with. A put without a time ranks
-    lowest, and a row without a time is never late.
+    lowest, and a row without a time is never late. ``n`` counts the merged
+    rows. The time of the batch's newest row goes on in a row of its own, so
+    that it moves the watermark while no other row is dropped by it.
     """
     whole = pc.ScalarAggregateOptions(skip_nulls=False)
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t.append_column("rank", pc.fill_null(t["ts_ms"], -(1 << 63))).sort_by([(c, "ascending") for c in ("rank", *ORDER[1:])])
         is_put = pc.equal(t["action"], "store")
-        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([(c, "last", whole) for c in (*ORDER, "payload")])
-        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last", whole)])
-        names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload"}
-        for part, at in ((puts.rename_columns(names), "put_ms"), (dels.rename_columns({"ts_ms_last": "del_ms"}), "del_ms")):
-            part = part.append_column("newest_ms", part[at]).append_column("is_put", pa.array([at == "put_ms"] * len(part), pa.bool_()))
+        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([*[(c, "last", whole) for c in (*ORDER, "payload")], ([], "count_all")])
+        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last", whole), ([], "count_all")])
+        names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload", "count_all": "n"}
+        for part, at in ((puts.rename_columns(names), "put_ms"), (dels.rename_columns({"ts_ms_last": "del_ms", "count_all": "n"}), "del_ms")):
+            part = part.append_column("is_put", pa.array([at == "put_ms"] * len(part), pa.bool_()))
             columns = [part[f.name] if f.name in part.column_names else pa.nulls(len(part)) for f in PARTIAL]
             yield from pa.table(columns, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
+        if (newest := pc.max(t["ts_ms"])).is_valid:
+            tick = [[newest.as_py()] if f.name == "newest_ms" else [0] if f.name == "n" else [None] for f in PARTIAL]
+            yield from pa.table(tick, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
 
 
 class _KeyState(StatefulProcessor):
@@ -75,14 +81,26 @@ class _KeyState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         old = self._kept.get()
         put, tomb, has_put, deleted = (tuple(old[:5]), *old[5:]) if old else ((None,) * 5, None, False, False)
-        old_tomb = tomb
+        old_tomb, watermark, applied = tomb, timerValues.getCurrentWatermarkInMs(), 0
         for r in rows:
+            if not r.n:
+                continue
+            at = r.put_ms if r.is_put else r.del_ms
+            if at is not None and 0 < watermark and at <= watermark:
+                yield Row(
+                    namespace=key[0], id=key[1], put_ms=r.put_ms, put_seq=r.put_seq, payload=r.payload, del_ms=r.del_ms,
+                    alive=False, reason="late", n=r.n,
+                )
+                continue
+            applied += r.n
             if r.is_put:
                 new = (r.put_ms, r.put_seq, r.put_ord, r.put_shard, r.payload)
                 if not has_put or self._rank(new) > self._rank(put):
                     put, has_put = new, True
             if r.del_ms is not None and (tomb is None or r.del_ms > tomb):
                 tomb = r.del_ms
+        if not applied:
+            return
         deleted = deleted or tomb is not None
         if has_put and self._hidden(put[0], tomb, deleted):
             put, has_put = (None,) * 5, False  # later deletes only hide more
@@ -94,7 +112,7 @@ class _KeyState(StatefulProcessor):
             self._handle.registerTimer(tomb + self._horizon_ms)
         yield Row(
             namespace=key[0], id=key[1], put_ms=put[0], put_seq=put[1], payload=put[4], del_ms=tomb,
-            alive=has_put,
+            alive=has_put, reason=None, n=applied,
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -119,9 +137,13 @@ def keyed_state_stream(
 
     With it, the time of a tombstone leaves the state once the horizon has passed. Rows with a time may
     then come at most ``lateness`` behind the newest one: a put later than that
-    could show again a key whose tombstone has expired. Rows without a time are
-    never late; as any delete hides such a put, however old, a flag of each
-    deleted key stays.
+    could show again a key whose tombstone has expired. Later rows change
+    nothing and come out with reason ``late``; ``n`` says of these, and of the
+    other rows that come out, how many rows of the input they stand for
+    (puts, and deletes, of a key in one Arrow batch are merged to the last), so
+    that every row is either applied or late. Rows without a time are never
+    late; as any delete hides such a put, however old, a flag of each deleted
+    key stays.
     """
     if lateness is None:
         alive = is_alive(F.col("put_at"), F.col("del_ms"), F.col("deleted"), horizon_ms)

@@ -230,6 +230,9 @@ def test_stream_equals_batch_across_a_restart(spark, tmp_path, lateness):
     live = batches.latest_updates(spark, out, ["namespace", "id"]).filter("alive")
     got = rows_of(live.select("id", F.col("put_ms").alias("ts_ms"), "payload"))
     assert got == brute(rows, H)
+    if lateness:
+        done = batches.read_batches(spark, out).groupBy("reason").agg(F.sum("n").alias("n")).collect()
+        assert [(r.reason, r.n) for r in done] == [(None, sum(r[5] in ("store", "delete") for r in rows))]
 
 
 def test_tombstones_expire(spark, tmp_path):
@@ -267,3 +270,24 @@ def test_untimed_rows_in_an_expiring_stream(spark, tmp_path):
     got = seen(live, "put_ms")
     assert got == seen(want, "ts_ms") and any(untimed for _, _, untimed, _ in got)
     assert {"new", "only"} <= {g[0] for g in got} and "gone" not in {g[0] for g in got}
+
+
+def test_late_rows_come_out_with_a_reason(spark, tmp_path):
+    """Rows behind the watermark change nothing and are counted, the others are applied; none goes missing."""
+    src, out, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    steps = [
+        [("ns", "a", 1_000, 1, 0, "store", bytearray(b"1"), 0), ("ns", "b", 50_000, 2, 0, "store", bytearray(b"2"), 0)],
+        [("ns", "b", 60_000, 3, 0, "store", bytearray(b"3"), 0)],
+        [("ns", "a", 2_000, 4, 0, "store", bytearray(b"4"), 0), ("ns", "a", 3_000, 5, 0, "delete", None, 0), ("ns", "c", 9_000, 6, 0, "store", bytearray(b"6"), 0), ("ns", "c", None, 7, 0, "store", bytearray(b"7"), 0), ("ns", "c", 59_500, 8, 0, "store", bytearray(b"8"), 0)],
+    ]
+    for rows in steps:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        run(keyed_state_stream(df, H, "1 second"), out, progress)
+    rows = batches.read_batches(spark, out)
+    late = {(r.id, r.put_ms, r.del_ms, r.n) for r in rows.filter("reason = 'late'").collect()}
+    assert late == {("a", 2_000, None, 1), ("a", None, 3_000, 1), ("c", 9_000, None, 1)} or late == {("a", 2_000, None, 1), ("a", None, 3_000, 1)}
+    assert rows.agg(F.sum("n")).first()[0] == 8
+    assert rows_of(batches.latest_updates(spark, out, ["namespace", "id"]).filter("alive").select("id", F.col("put_ms").alias("ts_ms"), "payload")) == {
+        "a": (1_000, b"1"), "b": (60_000, b"3"), "c": (59_500, b"8"),
+    }
