@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.session import materialize
 
-# Words of letters and digits, lower-cased.
-WORD = r"[\p{L}\p{N}]+"
+# Words of letters and digits, lower-cased; an ideograph is a word.
+WORD = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 # Word positions that a seed reads; it ignores the ones between (masks 110101, 1011001 and 1100011).
 MASKS = [(0, 1, 3, 5), (0, 2, 3, 6), (0, 1, 5, 6)]
 # An item is leaked where so large a share of its words, or so many in a window, stand in place.
 SHARE = 0.5
 WINDOW, IN_WINDOW = 20, 16
-LEAST_WORDS = 8
+# Items of fewer words are leaked where all their words stand one after the other; for longer ones a hit must show more
+# than the four words of its seed.
+LEAST_WORDS, LEAST_MATCHED = 8, 6
 # Seeds of the benchmark that are sent to every task at a time (32 bytes each).
 BLOCK_SEEDS = 1_000_000
 # Documents with hits whose ids may be sent to every task; beyond, texts are shuffled to them.
@@ -55,25 +57,30 @@ def benchmark_leaks(
     Every position of every whole text is hashed under each mask, and so is
     every item; equal hashes are hits, which say where the item would start.
     At each such place the words of document and item are compared one by one:
-    the item is leaked where at least ``share`` of its words stand in place, or
-    ``IN_WINDOW`` of ``WINDOW`` neighbouring ones. Substituted words cost only
-    themselves, as masks that skip them still hit.
+    the item is leaked where at least ``share`` of its words (and
+    ``LEAST_MATCHED``) stand in place, or ``IN_WINDOW`` of ``WINDOW``
+    neighbouring ones. Substituted words cost only themselves, as masks that
+    skip them still hit. Items of fewer than ``least_words`` words are hashed
+    and sought whole, by a hash of as many words at every position; items
+    without a word are in no document.
 
     Seeds of the benchmark are broadcast in blocks of about ``block_seeds``.
-    Items of fewer than ``least_words`` words are not searched for. Null and
-    empty texts hold nothing. Rows that repeat an id are searched together; a
+    Null and empty texts hold nothing. Rows that repeat an id are searched together; a
     null id is an id of its own.
     """
-    items = benchmark.select(F.col(item).alias("item"), _hashed_words(item_text).alias("item_words")).where(
-        F.size("item_words") >= least_words
-    )
-    items = items.dropDuplicates(["item", "item_words"])
+    items = benchmark.select(F.col(item).alias("item"), _hashed_words(item_text).alias("item_words")).where(F.size("item_words") > 0)
+    items = materialize(items.dropDuplicates(["item", "item_words"]), "items")
+    # The lengths of short items, fewer than ``least_words``: each is a mask of its own that reads all words.
+    short = [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < least_words).distinct().collect()]
+    masks = [*masks, *[tuple(range(n)) for n in sorted(short)]]
+    spaced = len(masks) - len(short)
     starts = items.select("item", F.size("item_words").alias("n"), F.posexplode(_seeds("item_words", masks)).alias("k", "seed"))
-    # Only whole windows; a mask's own length is at most the longest.
+    # Only whole windows; a mask's own length is at most the longest. Short items have one seed, all their words.
     widths = F.array(*[F.lit(max(m)) for m in masks])
-    at = F.pmod(F.col("k"), F.col("n"))
-    whole = at + F.get(widths, F.floor(F.col("k") / F.col("n")).cast("int")) < F.col("n")
-    seeds = materialize(starts.where(whole).select("seed", "item", at.alias("item_at")).distinct(), "seeds")
+    at, mask = F.pmod(F.col("k"), F.col("n")), F.floor(F.col("k") / F.col("n")).cast("int")
+    whole = at + F.get(widths, mask) < F.col("n")
+    own = F.when(F.col("n") < least_words, (mask >= spaced) & (F.get(widths, mask) + 1 == F.col("n"))).otherwise(mask < spaced)
+    seeds = materialize(starts.where(whole & own).select("seed", "item", at.alias("item_at")).distinct(), "seeds")
     blocks = max(1, -(-seeds.count() // block_seeds))
 
     texts = docs.select(F.col(id).alias("id"), _hashed_words(text).alias("words"))
@@ -100,7 +107,8 @@ def benchmark_leaks(
         lambda i: F.aggregate(F.slice("same", i, WINDOW), F.lit(0), lambda a, x: a + x),
     )
     judged = compared.select("id", "item", total.alias("matched"), F.size("same").alias("n"), F.array_max(sums).alias("window"))
-    leaked = judged.where((F.col("matched") >= share * F.col("n")) | (F.col("window") >= IN_WINDOW))
+    enough = F.when(F.col("n") < least_words, F.col("n")).otherwise(F.greatest(share * F.col("n"), F.lit(LEAST_MATCHED)))
+    leaked = judged.where((F.col("matched") >= enough) | (F.col("window") >= IN_WINDOW))
     best = leaked.groupBy("id", "item").agg(F.max("matched").cast("long").alias("matched"), F.max("n").cast("long").alias("words"))
     return best.select(
         F.col("id").alias(id), F.col("item").alias("item_id"), "matched", "words", (F.col("matched") / F.col("words")).alias("share")

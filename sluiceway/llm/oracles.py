@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluiceway.llm.decontaminate import IN_WINDOW, LEAST_WORDS, MASKS, SHARE, WINDOW
+from sluiceway.llm.decontaminate import IN_WINDOW, LEAST_MATCHED, LEAST_WORDS, MASKS, SHARE, WINDOW
 from sluiceway.llm.quality import STOP_WORDS
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,7 +22,7 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON a = doc_id
 """
 
-_ITEMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_ITEMS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
 _SEEDS = " UNION ALL ".join(
     f"SELECT id, pos, {k} AS mask, array_to_string([{', '.join(f'ws[pos + {1 + o}]' for o in mask)}], ' ') AS seed "
     f"FROM (SELECT id, ws, unnest(range(0, len(ws) - {max(mask)})) AS pos FROM {{0}})"
@@ -31,7 +31,9 @@ _SEEDS = " UNION ALL ".join(
 
 OP7 = f"""
 WITH d AS (SELECT doc_id AS id, {_ITEMS} AS ws FROM documents),
-b AS (SELECT item_id AS id, {_ITEMS} AS ws FROM benchmark WHERE len({_ITEMS}) >= {LEAST_WORDS}),
+items AS (SELECT item_id AS id, {_ITEMS} AS ws FROM benchmark),
+b AS (SELECT * FROM items WHERE len(ws) >= {LEAST_WORDS}),
+brief AS (SELECT * FROM items WHERE len(ws) BETWEEN 1 AND {LEAST_WORDS - 1}),
 ds AS ({_SEEDS.format("d")}),
 bs AS ({_SEEDS.format("b")}),
 p AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
@@ -40,7 +42,8 @@ f AS (SELECT p.doc_id, p.item_id, len(b.ws) AS n,
   FROM p JOIN d ON d.id = p.doc_id JOIN b ON b.id = p.item_id),
 j AS (SELECT doc_id, item_id, n, list_sum(same) AS matched,
     list_max(list_transform(range(1, greatest(n - {WINDOW} + 1, 1) + 1), lambda i: list_sum(same[i:i + {WINDOW - 1}]))) AS best FROM f),
-h AS (SELECT doc_id, item_id, max(matched) / CAST(max(n) AS DOUBLE) AS share FROM j WHERE matched >= {SHARE} * n OR best >= {IN_WINDOW} GROUP BY ALL),
+h AS (SELECT doc_id, item_id, max(matched) / CAST(max(n) AS DOUBLE) AS share FROM j WHERE matched >= greatest({SHARE} * n, {LEAST_MATCHED}) OR best >= {IN_WINDOW} GROUP BY ALL
+  UNION ALL SELECT d.id, brief.id, 1.0 FROM d JOIN brief ON contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(brief.ws, ' ') || ' ')),
 g AS (SELECT doc_id, count(*) AS n_items, max(share) AS overlap, array_to_string(list(item_id ORDER BY item_id), ',') AS item_ids FROM h GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(overlap, 0.0) AS overlap, coalesce(item_ids, '') AS item_ids

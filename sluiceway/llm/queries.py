@@ -75,7 +75,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = leaks.groupBy("doc_id").agg(
         F.count("*").alias("n_items"), F.max("share").alias("overlap"), F.array_sort(F.collect_list("item_id")).alias("item_ids")
     )
-    return docs.select("doc_id").join(held, "doc_id", "left").select(
+    held = held.withColumnRenamed("doc_id", "held")
+    return docs.select("doc_id").join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.col("n_items").isNull().alias("kept"),

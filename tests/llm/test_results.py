@@ -173,6 +173,34 @@ def test_leaks_survive_substitutions(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 5, 6]
 
 
+def test_short_items_are_sought_whole(spark, monkeypatch):
+    """Items of 1 to 20 words, ideographs and null ids, against a comparison at every shift."""
+    rng = random.Random(8)
+    items = {n: [f"w{rng.randint(0, 30)}" for _ in range(n)] for n in range(1, 21)} | {21: list("漢字検索"), 22: []}
+    rows = [(None, ["x", *items[12], "y"]), (None, ["clean"]), (1, items[1]), (2, items[21]), (3, ["w99"] * 40), (4, items[9][:5] + ["z"] * 30)]
+    for k in range(40):
+        words = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 25))]
+        rows.append((100 + k, words + items[rng.randint(2, 20)] + words[:3]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, "".join(w) if i == 21 else " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(docs, benchmark).collect()}
+    must, may = set(), set()
+    for i, words in rows:
+        for item, ws in items.items():
+            n, most = len(ws), 0
+            for shift in range(-n, len(words) + 1):
+                same = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(ws)]
+                most = max(most, sum(same))
+            if n and most >= (n if n < 8 else max(n / 2, 6)):
+                may.add((i, item))
+            if n and most == n:
+                must.add((i, item))
+    assert must <= got <= may and (None, 12) in got and (2, 21) in got
+    monkeypatch.setattr(queries, "table", lambda s, d, name: docs if name == "documents" else benchmark)
+    held = [r.contaminated for r in queries.op7_decontamination(spark, "").where("doc_id is null").collect()]
+    assert held == [True, True]  # rows without an id are searched together
+
+
 def test_quality_counts(spark, documents):
     df, texts = documents
     extra = {900: "a b c a b c\na b c\n\n \na b c", 901: "# $ &|<> x", 902: None, 903: "one two three"}
