@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sluiceway.operators.admission import body_size, is_handled
 from sluiceway.operators.validation import DEFAULT_MAX_VALUE, is_oversized
@@ -11,34 +11,38 @@ from sluiceway.session import materialize
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def request_metrics(classified: DataFrame) -> DataFrame:
-    """Requests and body bytes per (namespace, method), namespace, method and overall.
+def request_counts(classified: DataFrame) -> DataFrame:
+    """(namespace, method, outcome, handled, root, n, n_bytes): what the request and response reports add up.
 
-    ``level`` tells the totals apart (bit 2: namespace rolled up, bit 1:
-    method). The input is grouped once; the totals add up that small result.
+    ``handled`` rows have reached the submission step, which alone knows the
+    namespace; ``root`` requests are answered without being counted.
     """
     n_bytes = F.when(F.col("method") == "DELETE", F.lit(0)).otherwise(body_size(F.col("body")))
-    base = classified.filter(is_handled()).groupBy("namespace", "method").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("n_bytes")
-    )
+    root = (F.col("outcome") == 200) & F.col("uri").isin("/", "")
+    return classified.groupBy(
+        "namespace", "method", "outcome", is_handled().alias("handled"), F.coalesce(root, F.lit(False)).alias("root")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes).cast("long").alias("n_bytes"))
+
+
+def request_report(counts: DataFrame) -> DataFrame:
+    """Requests and body bytes per (namespace, method), namespace, method and overall, from ``request_counts``.
+
+    ``level`` tells the totals apart (bit 2: namespace rolled up, bit 1: method).
+    """
     sets = [[F.col("namespace"), F.col("method")], [F.col("namespace")], [F.col("method")], []]
-    return base.groupingSets(sets, F.col("namespace"), F.col("method")).agg(
+    return counts.filter("handled").groupingSets(sets, F.col("namespace"), F.col("method")).agg(
         F.grouping_id().cast("int").alias("level"),
         F.sum("n").alias("n"),
         F.sum("n_bytes").cast("long").alias("n_bytes"),
     )
 
 
-def response_counts(classified: DataFrame) -> DataFrame:
-    """Responses per namespace and code, and per code overall (``is_total``).
+def response_report(counts: DataFrame) -> DataFrame:
+    """Responses per namespace and code, and per code overall (``is_total``), from ``request_counts``.
 
-    Requests for the root are answered without being counted. Only the submission step knows the namespace; earlier rejections count in
-    the totals alone.
+    Earlier rejections than the submission step's count in the totals alone.
     """
-    counted = classified.filter(~((F.col("outcome") == 200) & F.col("uri").isin("/", "")))
-    base = counted.groupBy(F.when(is_handled(), F.col("namespace")).alias("namespace"), "outcome").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    base = counts.filter("not root").select(F.when(F.col("handled"), F.col("namespace")).alias("namespace"), "outcome", "n")
     sets = [[F.col("namespace"), F.col("outcome")], [F.col("outcome")]]
     out = base.groupingSets(sets, F.col("namespace"), F.col("outcome")).agg(
         (F.grouping("namespace") == 1).alias("is_total"), F.sum("n").alias("n")
@@ -46,6 +50,46 @@ def response_counts(classified: DataFrame) -> DataFrame:
     return out.filter("is_total or namespace is not null")
 
 
+def request_metrics(classified: DataFrame) -> DataFrame:
+    """``request_report`` of a table; the input is grouped once, the totals add up that small result."""
+    return request_report(request_counts(classified))
+
+
+def response_counts(classified: DataFrame) -> DataFrame:
+    """``response_report`` of a table."""
+    return response_report(request_counts(classified))
+
+
+def message_counts(gated: DataFrame, limit: int = DEFAULT_MAX_VALUE) -> DataFrame:
+    """(namespace, action, big, n, n_bytes): what the consumer and sink reports add up; ``big`` stores are oversized."""
+    big = F.coalesce((F.col("action") == "store") & is_oversized(F.col("payload"), limit), F.lit(False))
+    return gated.groupBy("namespace", "action", big.alias("big")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("n_bytes")
+    )
+
+
+def _sum_of(which: Column) -> Column:
+    return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+
+
+def consumer_report(counts: DataFrame) -> DataFrame:
+    """Messages consumed per topic, and how many of them were invalid, from ``message_counts``."""
+    return counts.groupBy(F.col("namespace").alias("topic")).agg(
+        F.sum("n").alias("consumed"), _sum_of(F.col("action") == "invalid").alias("invalid")
+    )
+
+
+def sink_report(counts: DataFrame) -> DataFrame:
+    """Per namespace: rows stored, deleted, dropped as oversized and refused, from ``message_counts``."""
+    store = F.col("action") == "store"
+    return counts.groupBy("namespace").agg(
+        _sum_of(store & ~F.col("big")).alias("stored"),
+        _sum_of(F.col("action") == "delete").alias("deleted"),
+        _sum_of(store & F.col("big")).alias("oversized"),
+        _sum_of(F.col("action") == "invalid").alias("failed"),
+    )
+
+
 def consumer_metrics(gated: DataFrame, topic: str = "namespace") -> DataFrame:
     """Messages consumed per topic, and how many of them were invalid."""
     return gated.groupBy(F.col(topic).alias("topic")).agg(
@@ -54,14 +98,8 @@ def consumer_metrics(gated: DataFrame, topic: str = "namespace") -> DataFrame:
 
 
 def sink_metrics(gated: DataFrame, limit: int = DEFAULT_MAX_VALUE) -> DataFrame:
-    """Per namespace: rows stored, deleted, dropped as oversized and refused."""
-    store, big = F.col("action") == "store", is_oversized(F.col("payload"), limit)
-    return gated.groupBy("namespace").agg(
-        F.count_if(store & ~big).alias("stored"),
-        F.count_if(F.col("action") == "delete").alias("deleted"),
-        F.count_if(store & big).alias("oversized"),
-        F.count_if(F.col("action") == "invalid").alias("failed"),
-    )
+    """``sink_report`` of a table."""
+    return sink_report(message_counts(gated, limit))
 
 
 def rate_series(df: DataFrame, seconds: int = 60, ts_ms: str = "ts_ms", n_bytes: str = "n_bytes") -> DataFrame:

@@ -393,3 +393,14 @@ oddest AS (SELECT * FROM judged WHERE action = 'store' AND NOT late QUALIFY row_
   ORDER BY ts_ms DESC NULLS LAST, seq DESC, ord DESC, shard DESC) = 1),
 gone AS (SELECT namespace, id, max(ts_ms) AS del_ms, count(ts_ms) AS deletes FROM judged WHERE action = 'delete' AND NOT late
   GROUP BY ALL HAVING count(ts_ms) > 0)""")
+ORACLES["live_meters"] = _sql("gated", f"""
+SELECT 'request' AS meter, namespace, method AS item, unnest(['n', 'bytes']) AS measure,
+  unnest([count(*), CAST(sum(CASE WHEN method = 'DELETE' THEN 0 ELSE strlen(body) END) AS BIGINT)]) AS value
+FROM classified WHERE {_HANDLED} GROUP BY namespace, method
+UNION ALL SELECT 'response', namespace, CAST(outcome AS STRING), 'n', count(*) FROM classified WHERE {_HANDLED} GROUP BY namespace, outcome
+UNION ALL SELECT 'consumer', namespace, NULL, unnest(['n', 'invalid']), unnest([count(*), count(*) FILTER (WHERE action = 'invalid')])
+FROM gated GROUP BY namespace
+UNION ALL SELECT 'sink', namespace, NULL, unnest(['stored', 'deleted', 'oversized', 'failed']), unnest([
+  count(*) FILTER (WHERE action = 'store' AND strlen(payload) <= 8), count(*) FILTER (WHERE action = 'delete'),
+  count(*) FILTER (WHERE action = 'store' AND strlen(payload) > 8), count(*) FILTER (WHERE action = 'invalid')])
+FROM gated GROUP BY namespace""")

@@ -25,7 +25,7 @@ from sluiceway.plans import fixtures as fx
 from sluiceway.session import configure, materialize, workspace
 from sluiceway.sinks import archive, batches, log, rolling, routing, state_table
 from sluiceway.sources import envelope, kv_archive, messages as log_source, policy_file
-from sluiceway.streaming import ingest, metrics as live, state as live_state
+from sluiceway.streaming import ingest, meters, metrics as live, state as live_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -779,3 +779,41 @@ def keyed_state_stream_late(spark, sf_dir):
     )
     alive = batches.latest_updates(spark, path, ["namespace", "id"]).filter("alive").groupBy("namespace").agg(n_rows().alias("n_alive"))
     return done.join(alive, "namespace", "left").withColumn("n_alive", F.coalesce("n_alive", F.lit(0)))
+
+
+@query
+def live_meters(spark, sf_dir):
+    """The four reports after a stream of requests, whose counts are carried from batch to batch."""
+    path = workspace(spark, "meters")
+    classified = admission.classify_requests(
+        arrivals(fx.requests(spark, sf_dir), "metered", F.col("recv_ms")), fx.policy(spark), fx.NAMESPACES, fx.MAX_BODY
+    )
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        meters.meter_requests(df, path, batch_id)
+        meters.meter_messages(validation.gate_operations(expansion.to_messages(df), JSON), path, batch_id, limit=8)
+
+    run = (
+        classified.writeStream.foreachBatch(write)
+        .option("checkpointLocation", workspace(spark, "meters-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    requests, rows = meters.read_counts(spark, f"{path}/requests"), meters.read_counts(spark, f"{path}/messages")
+    responses = metrics.response_report(requests).filter("not is_total")
+    named = [
+        ("request", metrics.request_report(requests).filter("level = 0"), F.col("method"), {"n": "n", "bytes": "n_bytes"}),
+        ("response", responses, F.col("outcome").cast("string"), {"n": "n"}),
+        ("consumer", metrics.consumer_report(rows).withColumnRenamed("topic", "namespace"), F.lit(None).cast("string"), {"n": "consumed", "invalid": "invalid"}),
+        ("sink", metrics.sink_report(rows), F.lit(None).cast("string"), {c: c for c in ("stored", "deleted", "oversized", "failed")}),
+    ]
+    parts = [
+        df.select(F.lit(meter).alias("meter"), "namespace", item.alias("item"), F.lit(name).alias("measure"), F.col(c).alias("value"))
+        for meter, df, item, measures in named
+        for name, c in measures.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
