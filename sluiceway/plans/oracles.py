@@ -404,3 +404,9 @@ UNION ALL SELECT 'sink', namespace, NULL, unnest(['stored', 'deleted', 'oversize
   count(*) FILTER (WHERE action = 'store' AND strlen(payload) <= 8), count(*) FILTER (WHERE action = 'delete'),
   count(*) FILTER (WHERE action = 'store' AND strlen(payload) > 8), count(*) FILTER (WHERE action = 'invalid')])
 FROM gated GROUP BY namespace""")
+ORACLES["sinks_by_configuration"] = _sql("gated", """
+SELECT sink, count(*) AS n, CAST(coalesce(sum(CASE WHEN action = 'store' THEN strlen(payload) + CASE WHEN sink = 'archive_stamped' THEN 26 ELSE 0 END END), 0)
+  AS BIGINT) AS n_bytes, count(*) FILTER (WHERE sink = 'archive_stamped') AS n_stamped
+FROM (SELECT *, CASE WHEN namespace = 'telemetry' THEN 'records' WHEN namespace = 'metrics' THEN 'own'
+        WHEN starts_with(namespace, 'testpilot_') THEN 'archive_stamped' ELSE 'replay' END AS sink FROM gated)
+WHERE action = 'store' OR (action = 'delete' AND sink IN ('own', 'replay')) GROUP BY ALL""")

@@ -817,3 +817,27 @@ def live_meters(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query
+def sinks_by_configuration(spark, sf_dir):
+    """Rows and payload bytes that each configured sink holds: payloads alone, a caller's own writer, stamped JSON, a replay plan."""
+    path = workspace(spark, "sinks")
+
+    def own(df: DataFrame, batch_id: int) -> None:
+        batches.write_batch(df.select("namespace", "id", "action", "payload"), f"{path}/own", batch_id)
+
+    routes = {"telemetry": "records", "metrics": "own", "testpilot_.+": "archive_stamped", "marketplace_.+": "replay"}
+    stream = arrivals(fx.messages(spark, sf_dir), "configured", F.col("ts_ms"))
+    ingest.run_consumer(stream, path, routes=routes, validators=JSON, writers={"own": own}).awaitTermination()
+    bodies = {"records": "payload", "own": "payload", "archive_stamped": "value", "replay": "body"}
+    parts = [
+        batches.read_batches(spark, f"{path}/{sink}").agg(
+            F.lit(sink).alias("sink"),
+            n_rows(),
+            F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n_bytes"),
+            F.count_if(F.decode(body, "UTF-8").contains('"ingest_ts":')).alias("n_stamped"),
+        )
+        for sink, body in bodies.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
