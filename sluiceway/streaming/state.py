@@ -22,11 +22,11 @@ PARTIAL = T.StructType(
         T.StructField("payload", T.BinaryType()),
         T.StructField("del_ms", T.LongType()),
         T.StructField("is_put", T.BooleanType()),
-        T.StructField("n", T.LongType()),
+        T.StructField("times", T.ArrayType(T.LongType())),
     ]
 )
 OUTPUT = T.StructType(
-    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard", "is_put", "n")]
+    [f for f in PARTIAL if f.name not in ("newest_ms", "put_ord", "put_shard", "is_put", "times")]
     + [T.StructField("alive", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("n", T.LongType())]
 )
 
@@ -35,25 +35,30 @@ def _combine(batches):
     """The last put and the last delete per key and Arrow batch, each with its own time.
 
     A hot key so reaches its task pre-merged, and whether a row is late does
-    not depend on which others it was merged with. A put without a time ranks
-    lowest, and a row without a time is never late. ``n`` counts the merged
-    rows. The time of the batch's newest row goes on in a row of its own, so
-    that it moves the watermark while no other row is dropped by it.
+    not depend on which others it was merged with: ``times`` has those of all
+    merged rows. Rows without a time, which are never late, are merged by
+    themselves. The time of the batch's newest row goes on in a row of its own,
+    so that it moves the watermark while no other row is dropped by it.
     """
     whole = pc.ScalarAggregateOptions(skip_nulls=False)
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        t = t.append_column("rank", pc.fill_null(t["ts_ms"], -(1 << 63))).sort_by([(c, "ascending") for c in ("rank", *ORDER[1:])])
-        is_put = pc.equal(t["action"], "store")
-        puts = t.filter(is_put).group_by(KEY, use_threads=False).aggregate([*[(c, "last", whole) for c in (*ORDER, "payload")], ([], "count_all")])
-        dels = t.filter(pc.invert(is_put)).group_by(KEY, use_threads=False).aggregate([("ts_ms", "last", whole), ([], "count_all")])
-        names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload", "count_all": "n"}
-        for part, at in ((puts.rename_columns(names), "put_ms"), (dels.rename_columns({"ts_ms_last": "del_ms", "count_all": "n"}), "del_ms")):
-            part = part.append_column("is_put", pa.array([at == "put_ms"] * len(part), pa.bool_()))
-            columns = [part[f.name] if f.name in part.column_names else pa.nulls(len(part)) for f in PARTIAL]
-            yield from pa.table(columns, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
+        t = t.append_column("at", t["ts_ms"]).append_column("rank", pc.fill_null(t["ts_ms"], -(1 << 63)))
+        t = t.sort_by([(c, "ascending") for c in ("rank", *ORDER[1:])])
+        is_put, timed = pc.equal(t["action"], "store"), pc.is_valid(t["ts_ms"])
+        for some in (timed, pc.invert(timed)):
+            puts = t.filter(pc.and_(is_put, some)).group_by(KEY, use_threads=False)
+            puts = puts.aggregate([*[(c, "last", whole) for c in (*ORDER, "payload")], ("at", "list")])
+            dels = t.filter(pc.and_(pc.invert(is_put), some)).group_by(KEY, use_threads=False)
+            dels = dels.aggregate([("ts_ms", "last", whole), ("at", "list")])
+            names = {"ts_ms_last": "put_ms", "seq_last": "put_seq", "ord_last": "put_ord", "shard_last": "put_shard", "payload_last": "payload", "at_list": "times"}
+            dels = dels.rename_columns({"ts_ms_last": "del_ms", "at_list": "times"})
+            for part, kind in ((puts.rename_columns(names), True), (dels, False)):
+                part = part.append_column("is_put", pa.array([kind] * len(part), pa.bool_()))
+                columns = [part[f.name] if f.name in part.column_names else pa.nulls(len(part)) for f in PARTIAL]
+                yield from pa.table(columns, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
         if (newest := pc.max(t["ts_ms"])).is_valid:
-            tick = [[newest.as_py()] if f.name == "newest_ms" else [0] if f.name == "n" else [None] for f in PARTIAL]
+            tick = [[newest.as_py()] if f.name == "newest_ms" else [None] for f in PARTIAL]
             yield from pa.table(tick, names=PARTIAL.names).cast(to_arrow_schema(PARTIAL)).to_batches()
 
 
@@ -83,16 +88,19 @@ class _KeyState(StatefulProcessor):
         put, tomb, has_put, deleted = (tuple(old[:5]), *old[5:]) if old else ((None,) * 5, None, False, False)
         old_tomb, watermark, applied = tomb, timerValues.getCurrentWatermarkInMs(), 0
         for r in rows:
-            if not r.n:
+            if r.times is None:
                 continue
-            at = r.put_ms if r.is_put else r.del_ms
-            if at is not None and 0 < watermark and at <= watermark:
+            late = sum(0 < watermark and t is not None and t <= watermark for t in r.times)
+            applied += len(r.times) - late
+            if late:
+                # The merged row is the last one: it is late if all are, and else stands for none of the late ones.
+                last = late == len(r.times)
                 yield Row(
-                    namespace=key[0], id=key[1], put_ms=r.put_ms, put_seq=r.put_seq, payload=r.payload, del_ms=r.del_ms,
-                    alive=False, reason="late", n=r.n,
+                    namespace=key[0], id=key[1], put_ms=r.put_ms if last else None, put_seq=r.put_seq if last else None,
+                    payload=r.payload if last else None, del_ms=r.del_ms if last else None, alive=False, reason="late", n=late,
                 )
-                continue
-            applied += r.n
+                if last:
+                    continue
             if r.is_put:
                 new = (r.put_ms, r.put_seq, r.put_ord, r.put_shard, r.payload)
                 if not has_put or self._rank(new) > self._rank(put):
@@ -140,8 +148,8 @@ def keyed_state_stream(
     could show again a key whose tombstone has expired. Later rows change
     nothing and come out with reason ``late``; ``n`` says of these, and of the
     other rows that come out, how many rows of the input they stand for
-    (puts, and deletes, of a key in one Arrow batch are merged to the last), so
-    that every row is either applied or late. Rows without a time are never
+    (puts, and deletes, of a key in one Arrow batch are merged to the last,
+    which alone has its payload), so that every row is either applied or late. Rows without a time are never
     late; as any delete hides such a put, however old, a flag of each deleted
     key stays.
     """
