@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.pairs import with_both
 from sluiceway.llm.search import search_links
-from sluiceway.llm.shingles import WordHasher, mix, shingle_hashes
+from sluiceway.llm.shingles import WordHasher, different, mix, shingle_hashes
 from sluiceway.session import materialize
 
 WIDTH = 5
@@ -52,7 +52,7 @@ def signature(hashes: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.nd
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, width: int) -> Iterator[np.ndarray]:
     raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist()]
     for words in hasher.texts(raws):
-        yield np.unique(shingle_hashes(words, width))
+        yield different(shingle_hashes(words, width))
 
 
 def _signed(width: int, bands: int, rows: int):

@@ -18,6 +18,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def different(x: np.ndarray) -> np.ndarray:
+    """The different values of an array, sorted; on 64-bit hashes many times faster than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class WordHasher:
     """64-bit hashes of the white-space separated words of a byte string.
 
