@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from sluiceway.operators.ordering import CHUNK, int_div, join_groups
+from sluiceway.operators.ordering import CHUNK, int_div
 from sluiceway.sinks.batches import batch_path, committed_batches, remove
 
 SHARD = ["namespace", "shard", "ord"]
 LEDGER = "namespace string, shard long, ord int, low long, high long"
-POSITION = [*SHARD, "seq"]
 
 
 def merged_intervals(intervals: DataFrame) -> DataFrame:
@@ -43,28 +42,24 @@ def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> Da
     return spark.read.schema(LEDGER).parquet(batch_path(path, done[-1]))
 
 
-def _arrived(rows: DataFrame, ledger: DataFrame, chunk: int) -> DataFrame:
-    """``rows`` with ``_arrived``: whether an interval of the ledger holds their position."""
-    run = int_div(F.col("seq"), chunk)
-    blocks = rows.select(*SHARD, run.alias("_run")).distinct()
-    reach = blocks.withColumnsRenamed({k: f"_{k}" for k in SHARD})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SHARD]
-    inside = (F.col("low") < (F.col("_run") + 1) * chunk) & (F.col("high") >= F.col("_run") * chunk)
-    # A block's intervals lie in its chunk of positions, so that the list is bounded.
-    found = ledger.join(reach, [*same, inside]).groupBy(*SHARD, "_run").agg(F.collect_list(F.struct("low", "high")).alias("_held"))
-    joined = join_groups(rows.withColumn("_run", run), found, [*SHARD, "_run"], "left")
-    hit = F.exists("_held", lambda i: F.col("seq").between(i["low"], i["high"]))
-    return joined.withColumn("_arrived", F.coalesce(hit, F.lit(False))).drop("_held", "_run")
+def _fresh(rows: DataFrame, ledger: DataFrame, chunk: int) -> DataFrame:
+    """Those of ``rows`` whose position no interval of the ledger holds, one per position.
 
-
-def _once(rows: DataFrame) -> DataFrame:
-    """One row per position; only positions that occur twice in the batch are shuffled with all they carry."""
-    same = lambda named: [F.col(k).eqNullSafe(named[f"_{k}"]) for k in POSITION]
-    twice = rows.groupBy(*POSITION).count().filter("count > 1").select(*[F.col(k).alias(f"_{k}") for k in POSITION])
-    single = rows.join(twice, same(twice), "left_anti")
-    again = rows.join(twice, same(twice), "left_semi")
-    nth = F.row_number().over(W.partitionBy(*POSITION).orderBy(F.lit(0)))
-    return single.unionByName(again.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+    Rows and intervals are sorted together inside chunks of positions. Intervals
+    do not overlap, so only the last one that starts at or before a row can hold it.
+    """
+    runs = F.sequence(int_div(F.col("low"), chunk), int_div(F.col("high"), chunk))
+    held = ledger.select(*SHARD, F.explode(runs).alias("_run"), "low", F.col("high").alias("_high"))
+    held = held.select(*SHARD, "_run", F.greatest(F.col("low"), F.col("_run") * chunk).alias("seq"), "_high")
+    marked = rows.withColumns({"_run": int_div(F.col("seq"), chunk), "_high": F.lit(None).cast("long")})
+    by = W.partitionBy(*SHARD, "_run").orderBy("seq", F.col("_high").asc_nulls_last())
+    is_row = F.col("_high").isNull()
+    reached = F.last("_high", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = F.lag(F.when(is_row, F.col("seq"))).over(by)
+    judged = marked.unionByName(held, allowMissingColumns=True).withColumns({"_reached": reached, "_before": before})
+    arrived = F.coalesce(F.col("_reached") >= F.col("seq"), F.lit(False))
+    again = F.coalesce(F.col("_before") == F.col("seq"), F.lit(False))
+    return judged.filter(is_row & ~arrived & ~again).select(*rows.columns)
 
 
 def drop_redelivered(rows: DataFrame, path: str, batch_id: int, chunk: int = CHUNK) -> DataFrame:
@@ -74,8 +69,8 @@ def drop_redelivered(rows: DataFrame, path: str, batch_id: int, chunk: int = CHU
     be told apart and stay. Call ``commit_ledger`` once the sinks are written.
     """
     known = F.col("seq").isNotNull()
-    fresh = _arrived(rows.filter(known), read_ledger(rows.sparkSession, path, batch_id), chunk).filter(~F.col("_arrived")).drop("_arrived")
-    return _once(fresh).unionByName(rows.filter(~known))
+    fresh = _fresh(rows.filter(known), read_ledger(rows.sparkSession, path, batch_id), chunk)
+    return fresh.unionByName(rows.filter(~known))
 
 
 def commit_ledger(rows: DataFrame, path: str, batch_id: int, chunk: int = CHUNK) -> None:
