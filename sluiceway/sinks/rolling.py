@@ -1,7 +1,9 @@
 """An archive whose files roll by size, across the batches of a stream.
 
 A file is a folder ``namespace=/ds=/shard=/file_no=``; each batch adds its part
-of it below the batch's own folder. How many bytes the open file of a group
+of it below the batch's own folder. Where the limit is far below a megabyte
+consecutive files share a folder, named by the first, and ``place`` counts on
+from there: else the folders of a batch would be as many as its records. How many bytes the open file of a group
 holds is written with the batch, and the next batch goes on from there.
 """
 
@@ -16,8 +18,10 @@ from sluiceway.sinks.batches import batch_path, committed_batches, read_batches,
 
 GROUP = ["namespace", "ds", "shard"]
 OPEN = "namespace string, ds string, shard long, file_no long, held long"
-FILES = "key string, value binary, seq long, ord int, namespace string, ds string, shard long, file_no long"
+FILES = "key string, value binary, seq long, ord int, place long, namespace string, ds string, shard long, file_no long"
 ROLL_BYTES = 536_870_912
+# Files share a folder up to about this size.
+FOLDER_BYTES = 1 << 20
 
 
 def _open_files(spark: SparkSession, path: str, before: int) -> DataFrame:
@@ -52,8 +56,12 @@ def write_rolling(actions: DataFrame, path: str, batch_id: int, max_bytes: int =
 
     place = [*GROUP, "seq", "ord"]
     files = join_groups(rows, numbered.filter("ord >= 0").select(*place, "file_no").distinct(), place)
-    files = files.select("key", "value", "seq", F.col("ord").cast("int").alias("ord"), *GROUP, "file_no")
-    laid = files.repartition(*GROUP, "file_no").sortWithinPartitions(*GROUP, "file_no", "seq", "ord")
+    place = F.pmod("file_no", F.lit(max(1, FOLDER_BYTES // max_bytes) if max_bytes else 1))
+    files = files.withColumn("place", place).withColumn("file_no", F.col("file_no") - F.col("place"))
+    files = files.select("key", "value", "seq", F.col("ord").cast("int").alias("ord"), "place", *GROUP, "file_no")
+    # The number is given, or small batches would be written by one task: files cost more than their bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = files.repartition(tasks, *GROUP, "file_no").sortWithinPartitions(*GROUP, "file_no", "place", "seq", "ord")
     laid.write.mode("overwrite").partitionBy(*GROUP, "file_no").parquet(batch_path(f"{path}/files", batch_id))
 
     sizes = numbered.groupBy(*GROUP, "file_no").agg(F.sum("n_bytes").alias("held"))
@@ -69,4 +77,4 @@ def read_rolling(spark: SparkSession, path: str) -> DataFrame:
     found = read_batches(spark, f"{path}/files", schema=FILES)
     if found is None:
         raise ValueError(f"no finished batch below {path}")
-    return found
+    return found.withColumn("file_no", F.col("file_no") + F.coalesce("place", F.lit(0))).drop("place")

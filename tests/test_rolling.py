@@ -112,6 +112,20 @@ def test_ledger_is_as_large_as_its_gaps(spark, tmp_path):
     assert ledger.read_ledger(spark, path).first()[3:] == (0, 139_999) and len(list((tmp_path / "ledger").iterdir())) == 2
 
 
+def test_files_far_below_a_megabyte_share_folders(spark, tmp_path):
+    """The folders of a batch are as many as its groups, not as its files; those of the default size have their own."""
+    rows, path = stores(240), str(tmp_path / "small")
+    for i in range(2):
+        rolling.write_rolling(spark.createDataFrame(rows[i::2], SCHEMA), path, i, 9)
+    files = rolling.read_rolling(spark, path).groupBy(*rolling.GROUP).agg(F.max("file_no").alias("m")).collect()
+    assert sum(r.m + 1 for r in files) > 5 * len(files)
+    for i in range(2):
+        assert len(list((tmp_path / "small" / "files" / f"batch={i}").glob("*/*/*/file_no=*"))) <= len(files)
+    large = [("a", "k", 5, 0, s, 0, "store", bytearray(b"x" * (1 << 20))) for s in range(3)]
+    rolling.write_rolling(spark.createDataFrame(large, SCHEMA), str(tmp_path / "large"), 0, 1 << 20)
+    assert len(list((tmp_path / "large").glob("files/*/*/*/*/file_no=*"))) == 3
+
+
 def test_a_ledger_of_gaps_is_read_in_order(spark, tmp_path):
     """Every other position of one shard arrives first: each of the rest meets one interval, not all of them."""
     path, n = str(tmp_path / "ledger"), 300_000
