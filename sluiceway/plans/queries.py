@@ -45,6 +45,9 @@ SLICE_MS = 6 * 86_400_000
 SLICES = 5
 FIRST_MS = 1_704_067_200_000  # 2024-01-01, where the test events begin
 LATENESS = "6 days"
+# Rows per file of a test stream; a batch has as many files as its slice, so
+# that its tasks grow in number with the input.
+FILE_ROWS = 50_000
 
 
 def query(f: Query) -> Query:
@@ -616,9 +619,12 @@ def arrivals(df: DataFrame, tag: str, at: Column, redelivered: DataFrame | None
     rows = df if redelivered is None else df.unionByName(redelivered)
     slices = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((at - FIRST_MS) / SLICE_MS)))
     rows = materialize(rows.withColumn("_slice", slices), f"{tag}-rows")
+    # All slices have the same number of files, or batches would not be slices.
+    smallest = min((r["count"] for r in rows.groupBy("_slice").count().collect()), default=0)
+    files = max(2, smallest // FILE_ROWS)
     for k in range(SLICES):
-        rows.filter(F.col("_slice") == k).drop("_slice").repartition(2).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        rows.filter(F.col("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(stream: DataFrame, tag: str, mode: str = "update") -> str:

@@ -323,3 +323,15 @@ def test_outcomes_as_published(spark):
         (201, None): 5919, (404, "namespace"): 1957, (403, "delete_denied"): 531, (400, "empty_body"): 337, (404, "id"): 320,
         (403, "get_denied"): 226, (404, "endpoint"): 170, (413, "body_too_large"): 150, (200, None): 245, (403, "method_denied"): 145,
     }
+
+
+def test_a_slice_is_a_batch_of_files_by_its_rows(spark, monkeypatch):
+    """Test streams have more files where there are more rows, and still one batch for each slice."""
+    from sluiceway.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    rows = spark.range(200).select("id", (queries.FIRST_MS + F.col("id") % 5 * queries.SLICE_MS).alias("at"))
+    stream = queries.arrivals(rows, "many", F.col("at"))
+    path = queries.finished(stream.withColumn("file", F.input_file_name()), "many", "append")
+    got = queries.batches.read_batches(spark, path).groupBy("batch").agg(F.countDistinct("at").alias("slices"), F.countDistinct("file").alias("files"), F.count("*").alias("n")).collect()
+    assert sorted((r.batch, r.slices, r.files, r.n) for r in got) == [(b, 1, 4, 40) for b in range(5)]
