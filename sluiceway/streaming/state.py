@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluiceway.operators.state import HORIZON_MS, KEY, ORDER, is_alive, partial_state
 
+# Bytes of rows that are combined at a time.
+BULK_BYTES = 32 << 20
+
 PARTIAL = T.StructType(
     [
         T.StructField("namespace", T.StringType()),
@@ -31,8 +34,21 @@ OUTPUT = T.StructType(
 )
 
 
+def _in_bulk(batches):
+    """Arrow batches put together up to ``BULK_BYTES``: the larger, the more rows of a key meet."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BULK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _combine(batches):
-    """The last put and the last delete per key and Arrow batch, each with its own time.
+    """The last put and the last delete per key and run of Arrow batches, each with its own time.
 
     A hot key so reaches its task pre-merged, and whether a row is late does
     not depend on which others it was merged with: ``times`` has those of all
@@ -41,8 +57,7 @@ def _combine(batches):
     so that it moves the watermark while no other row is dropped by it.
     """
     whole = pc.ScalarAggregateOptions(skip_nulls=False)
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
+    for t in _in_bulk(batches):
         t = t.append_column("at", t["ts_ms"]).append_column("rank", pc.fill_null(t["ts_ms"], -(1 << 63)))
         t = t.sort_by([(c, "ascending") for c in ("rank", *ORDER[1:])])
         is_put, timed = pc.equal(t["action"], "store"), pc.is_valid(t["ts_ms"])
@@ -90,14 +105,15 @@ class _KeyState(StatefulProcessor):
         for r in rows:
             if r.times is None:
                 continue
-            late = sum(0 < watermark and t is not None and t <= watermark for t in r.times)
+            behind = [t for t in r.times if 0 < watermark and t is not None and t <= watermark]
+            late = len(behind)
             applied += len(r.times) - late
             if late:
-                # The merged row is the last one: it is late if all are, and else stands for none of the late ones.
+                # The merged row is the last one: it is late if all are. Else only the time of the newest late one is known.
                 last = late == len(r.times)
                 yield Row(
-                    namespace=key[0], id=key[1], put_ms=r.put_ms if last else None, put_seq=r.put_seq if last else None,
-                    payload=r.payload if last else None, del_ms=r.del_ms if last else None, alive=False, reason="late", n=late,
+                    namespace=key[0], id=key[1], put_ms=max(behind) if r.is_put else None, put_seq=r.put_seq if last else None,
+                    payload=r.payload if last else None, del_ms=None if r.is_put else max(behind), alive=False, reason="late", n=late,
                 )
                 if last:
                     continue
@@ -148,7 +164,7 @@ def keyed_state_stream(
     could show again a key whose tombstone has expired. Later rows change
     nothing and come out with reason ``late``; ``n`` says of these, and of the
     other rows that come out, how many rows of the input they stand for
-    (puts, and deletes, of a key in one Arrow batch are merged to the last,
+    (puts, and deletes, of a key in a run of Arrow batches are merged to the last,
     which alone has its payload), so that every row is either applied or late. Rows without a time are never
     late; as any delete hides such a put, however old, a flag of each deleted
     key stays.
