@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.pairs import with_both
-from sluiceway.llm.search import search_links
+from sluiceway.llm.search import PLACED, search_links
 from sluiceway.llm.shingles import WordHasher, different, mix, shingle_hashes
-from sluiceway.session import materialize
+from sluiceway.session import materialize, small
 
 WIDTH = 5
 # Bands of rows: pairs at similarity 0.85 share no bucket once in 2 million.
@@ -198,7 +198,7 @@ def near_duplicates(
     sets = materialize(hashed.dropDuplicates(["id"]), "sets")
     centres = _centres(members)
     done = _compare(_stars(members, centres), sets, percent, "star")
-    parts = connected_components(done.where("linked"), "centre", "member")
+    parts = small(materialize(connected_components(done.where("linked"), "centre", "member"), "parts"), PLACED)
 
     outside = _outsiders(members, centres, parts)
     if not outside.isEmpty():
@@ -226,6 +226,24 @@ def _outsiders(members: DataFrame, centres: DataFrame, parts: DataFrame) -> Data
     return materialize(placed.join(cores, "key").where(F.col("part") != F.col("core")).select("key", "id"), "outside")
 
 
+def _leads(closest: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """(id, m, most, h): the shingles that lead to partners, and the largest partner that each must lead to.
+
+    An outsider's shingles are ranked by how many hold them (``counts``: h,
+    held), those of ``own`` and of ``any`` apart. A partner whose first of them
+    is the one of rank r shares at most the m - r + 1 from there on, so it has
+    at most (m - r + 1) * (1 + t) / t - m elements.
+    """
+    own = closest.select("id", "m", "enough", F.lit(None).cast("long").alias("limit"), F.explode("own").alias("h"))
+    any_ = closest.select("id", "m", F.col("m").alias("enough"), "limit", F.explode("any").alias("h"))
+    # One document's shingles.
+    rank = F.row_number().over(W.partitionBy("id", F.col("limit").isNull()).orderBy("held", "h"))
+    ranked = own.union(any_).join(counts, "h").withColumn("rank", rank)
+    most = F.floor((F.col("m") - F.col("rank") + 1) * (100 + percent) / percent) - F.col("m")
+    led = ranked.where("rank <= enough and held > 1").select("id", "m", F.least("limit", most).alias("most"), "h")
+    return led.where(100 * F.col("most") >= percent * F.col("m"))
+
+
 def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(node, component) after outsiders have been linked to other members of their buckets.
 
@@ -241,15 +259,9 @@ def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: Dat
     near = members.join(outside.select("key").distinct(), "key", "left_semi").select("id").distinct()
     numbers = sets.join(near, "id", "left_semi").mapInArrow(_numbers, "id long, n long, hashes array<bigint>")
     tokens = numbers.select(F.col("id").alias("other"), "n", F.explode("hashes").alias("h"))
-    largest = F.floor(F.col("m") * 100 / percent)
-    own = closest.select("id", "m", "enough", largest.alias("most"), F.explode("own").alias("h"))
-    any_ = closest.select("id", "m", F.least("limit", largest).alias("most"), F.explode("any").alias("h"))
-    wanted = own.select("h").union(any_.select("h")).distinct()
+    wanted = closest.select(F.explode(F.concat("own", "any")).alias("h")).distinct()
     tokens = materialize(tokens.join(wanted, "h", "left_semi"), "tokens")
-    held = own.join(tokens.groupBy("h").agg(F.count("*").alias("held")), "h")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))  # one document's shingles
-    own = held.withColumn("rank", rank).where("rank <= enough and held > 1").select("id", "m", "most", "h")
-    leads = materialize(own.union(any_.select("id", "m", "most", "h")), "leads")
+    leads = _leads(closest, tokens.groupBy("h").agg(F.count("*").alias("held")), percent)
     possible = (F.col("n") <= F.col("most")) & (100 * F.col("n") >= percent * F.col("m"))
     tested = done.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
     compare = lambda pairs: _compare(pairs, sets, percent, "rest").where("linked").select("centre", "member")
