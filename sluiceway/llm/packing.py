@@ -84,15 +84,15 @@ def curve_places(words: list[np.ndarray], signs: np.ndarray, bits: int) -> np.nd
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes, with the words met before kept.
-
-    The byte-level pre-tokenizer always cuts before a space that a visible
-    character follows, so the pieces between such spaces encode on their own.
-    Latin pieces go to the faster of two libraries where the file's merges are
-    in the order of its ids, as both then give the same ids. Texts that hold
-    the string of a special token go to the file's own library whole, unless
-    ``plain`` makes those strings ordinary text. ``end`` is the id that closes
-    a text, if any.
+    """Token ids of whole texts as little-endian bytes.
+
+    Latin texts go whole to the faster of two libraries where the file's merges
+    are in the order of its ids, as both then give the same ids. Of the others
+    the words met before are kept: the byte-level pre-tokenizer always cuts
+    before a space that a visible character follows, so the pieces between such
+    spaces encode on their own. Texts that hold the string of a special token
+    go to the file's own library whole, unless ``plain`` makes those strings
+    ordinary text. ``end`` is the id that closes a text, if any.
     """
 
     def __init__(self, path: str, end: int | None = END, plain: bool = False) -> None:
@@ -109,7 +109,7 @@ class Encoder:
 
     def _whole(self, text: str) -> bool:
         """Whether a text is for the file's own library."""
-        return self.fast is None or bool(FOREIGN.search(text)) or any(s in text for s in self.special)
+        return self.fast is None or not text.isascii() and bool(FOREIGN.search(text)) or any(s in text for s in self.special)
 
     def ids(self, text: str) -> list[int]:
         """Token ids of one text, nothing kept."""
@@ -120,7 +120,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         end, special = self.end, self.special
-        split = [None if JOINED.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
+        split = [None if not self._whole(t) or JOINED.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words
