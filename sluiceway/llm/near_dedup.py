@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sluiceway.llm.components import connected_components
 from sluiceway.llm.pairs import with_both
-from sluiceway.llm.search import PLACED, search_links
+from sluiceway.llm.search import PAIR, PLACED, search_links
 from sluiceway.llm.shingles import WordHasher, different, mix, shingle_hashes
-from sluiceway.session import materialize, small
+from sluiceway.session import few, materialize, passing, small
 
 WIDTH = 5
 # Bands of rows: pairs at similarity 0.85 share no bucket once in 2 million.
 BANDS, ROWS = 25, 5
+# Bytes of shingle sets that go to every task; beyond them pairs are shuffled to their sets.
+SENT = 16 << 20
 
 
 def _densify_table(bins: int, tries: int = 256) -> np.ndarray:
@@ -133,20 +135,18 @@ def _compared(percent: int):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, tag: str, sent: bool) -> DataFrame:
     """Pairs (centre, member) with their verdicts, from the whole sets."""
-    both = with_both(pairs, sets, "hashes")
+    both = with_both(pairs, sets, "hashes", sent=sent, led=few(pairs, PAIR, SENT))
     schema = "centre long, member long, linked boolean, common long, own array<bigint>, enough long, any array<bigint>, limit long"
     return materialize(both.mapInArrow(_compared(percent), schema), tag)
 
 
 def _centres(members: DataFrame) -> DataFrame:
     """(key, centre): in each bucket of two and more, the member whose buckets hold most rows."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    members = members.join(sizes, "key")
-    weight = members.groupBy("id").agg(F.sum("rows").alias("weight"))
+    weight = small(materialize(members.groupBy("id").agg(F.sum("rows").alias("weight")), "weights"), 16)
     top = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top"))
-    return materialize(top.select("key", (-F.col("top.back")).alias("centre")), "centres")
+    return small(materialize(top.select("key", (-F.col("top.back")).alias("centre")), "centres"), 16)
 
 
 def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
@@ -179,43 +179,52 @@ def near_duplicates(
     rows that repeat an id are one document, with the set of least digest, and
     come out once. Rows with a null id come out with a null component, kept.
     """
+    with passing(docs.sparkSession):
+        every, classes = _classes(docs, id, text, percent, width, bands, rows)
+    out = every.join(classes, "digest", "left")
+    component = F.coalesce("component", "id")
+    return out.select(
+        F.col("id").alias(id),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _classes(docs: DataFrame, id: str, text: str, percent: int, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, digest) of every document, and (digest, component) of every set that is not empty, both written."""
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     schema = "id long, n long, digest binary, keys array<bigint>"
     signed = materialize(source.mapInArrow(_signed(width, bands, rows), schema), "signatures")
     named = signed.where(F.col("id").isNotNull())
     # A repeated id stands for the least of its digests, an empty set only if it has no other.
     one = named.groupBy("id").agg(F.min(F.struct(F.col("digest").isNull(), "digest", "n")).alias("of")).select("id", "of.n", "of.digest")
-    one = materialize(one, "ids")
+    every = materialize(one.union(signed.where(F.col("id").isNull()).select("id", "n", "digest")), "ids", keep=True)
+    one = every.where(F.col("id").isNotNull())
     first = one.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
     first = materialize(first, "sets")
     reps = named.join(first.select(F.col("rep").alias("id"), F.col("digest").alias("held")), "id").where(F.col("digest") == F.col("held"))
     exploded = reps.select("id", F.explode("keys").alias("key"))
-    crowded = exploded.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("key")
-    members = materialize(exploded.join(crowded, "key").select("key", "id"), "members")
+    crowded = exploded.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    crowded = small(materialize(crowded, "crowded"), 16)
+    members = materialize(exploded.join(crowded, "key").select("key", "id", "rows"), "members")
 
     ids = members.select("id").distinct().join(first.select(F.col("rep").alias("id"), "digest"), "id")
     hashed = source.join(ids, "id").mapInArrow(_hashed(width), "id long, hashes binary")
     sets = materialize(hashed.dropDuplicates(["id"]), "sets")
+    sent = few(sets, F.length("hashes") + 16, SENT)
     centres = _centres(members)
-    done = _compare(_stars(members, centres), sets, percent, "star")
+    done = _compare(materialize(_stars(members, centres), "stars"), sets, percent, "star", sent)
     parts = small(materialize(connected_components(done.where("linked"), "centre", "member"), "parts"), PLACED)
 
     outside = _outsiders(members, centres, parts)
     if not outside.isEmpty():
-        parts = _searched(outside, done, members, sets, parts, percent)
+        parts = _searched(outside, done, members, sets, parts, percent, sent)
 
     classes = first.join(parts, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
-    every = one.union(signed.where(F.col("id").isNull()).select("id", "n", "digest"))
-    out = every.join(classes, "digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    return every, materialize(classes, "classes", keep=True)
 
 
 def _outsiders(members: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFrame:
@@ -244,7 +253,7 @@ def _leads(closest: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     return led.where(100 * F.col("most") >= percent * F.col("m"))
 
 
-def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, sent: bool) -> DataFrame:
     """(node, component) after outsiders have been linked to other members of their buckets.
 
     An outsider has failed against a centre; what leads to its partners comes
@@ -259,12 +268,12 @@ def _searched(outside: DataFrame, done: DataFrame, members: DataFrame, sets: Dat
     near = members.join(outside.select("key").distinct(), "key", "left_semi").select("id").distinct()
     numbers = sets.join(near, "id", "left_semi").mapInArrow(_numbers, "id long, n long, hashes array<bigint>")
     tokens = numbers.select(F.col("id").alias("other"), "n", F.explode("hashes").alias("h"))
-    wanted = closest.select(F.explode(F.concat("own", "any")).alias("h")).distinct()
+    wanted = small(materialize(closest.select(F.explode(F.concat("own", "any")).alias("h")).distinct(), "wanted"), 8)
     tokens = materialize(tokens.join(wanted, "h", "left_semi"), "tokens")
     leads = _leads(closest, tokens.groupBy("h").agg(F.count("*").alias("held")), percent)
     possible = (F.col("n") <= F.col("most")) & (100 * F.col("n") >= percent * F.col("m"))
     tested = done.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
-    compare = lambda pairs: _compare(pairs, sets, percent, "rest").where("linked").select("centre", "member")
+    compare = lambda pairs: _compare(pairs, sets, percent, "rest", sent).where("linked").select("centre", "member")
     return search_links(leads, tokens, tested, parts, possible, compare)
 
 
