@@ -176,8 +176,8 @@ def compared(percent: int):
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, line) to (id, n, b0, b1, ...): the number of shingles, and bits of which each shingle turns one."""
-    names = ["id", "n", *[f"b{k}" for k in range(MARKS)]]
+    """(id, line) to (id, n, b0, b1, ..., line): the number of shingles, and bits of which each shingle turns one."""
+    names = ["id", "n", *[f"b{k}" for k in range(MARKS)], "line"]
     for batch in batches:
         sizes, words = [], []
         for hashes in shingle_sets(batch.column(1).to_pylist()):
@@ -185,4 +185,4 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(hashes))
             words.append(np.packbits(bits).view(np.int64))
         table = np.array(words, dtype=np.int64).reshape(-1, MARKS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(table[:, k].copy()) for k in range(MARKS)]], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(table[:, k].copy()) for k in range(MARKS)], batch.column(1)], names=names)

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sluiceway.llm import near_dedup, search
+from sluiceway.llm import line_dedup, near_dedup, search
 from sluiceway.llm.pairs import with_both
 from sluiceway.session import materialize, passing, shared_dir
 
@@ -22,7 +22,7 @@ def _shuffle_files(spark):
 def test_only_what_the_result_reads_stays(spark):
     line = "the {} brown fox jumps over the lazy dog and runs through the wide open field near the old mill"
     docs = spark.createDataFrame([(i, line.format(w) + f"\nown {i * 7919}") for i, w in enumerate(["quick", "quick", "quack", "slow"])], "doc_id long, text string")
-    for operator, most in ((near_dedup.near_duplicates, 2),):
+    for operator, most in ((line_dedup.dedup_lines, 1), (near_dedup.near_duplicates, 2)):
         before = _tables(spark)
         out = operator(docs)
         assert len(_tables(spark) - before) <= most
